@@ -36,7 +36,7 @@ LOOKS = {
     "phone": r"(?<![0-9])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,5}){2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9\-.])[0-9]{3}([.\-])[0-9]{3}\3[0-9]{4}(?![0-9])",
 }
 _LOOK = re.compile("|".join(f"(?P<{k}>{v})" for k, v in LOOKS.items()).replace(r"\3", "(?P=mark)").replace(r"([.\-])[0-9]{3}", r"(?P<mark>[.\-])[0-9]{3}"))
-_MAYBE = re.compile(r"[0-9@]|(?i:password=|passwd=|secret=|api_key=|token=)")
+_MAYBE = re.compile(r"[0-9@]|AKIA|(?i:password=|passwd=|secret=|api_key=|token=)")
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _IN = {c: k for k in _CLASSES for c in k}
 
