@@ -29,8 +29,9 @@ from . import scratch
 from .components import components
 
 #: Pairs of unlike documents that a region of the first level may hold; wider by WIDER at each level after it.
-REGION_PAIRS, WIDER = 2016, 16
-MIN_KEYS = 4
+REGION_PAIRS, WIDER = 2016, 64
+#: Minimum hashes by which crowds are collapsed, and the ratio of the sizes that share a pivot.
+MIN_KEYS, SIZE_STEP = 6, 1.25
 _TOP = float(1 << 64)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -265,6 +266,35 @@ def _sparse(label: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(i), np.concatenate(j)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size, least = 0, 0
+
+    def added() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, w = (np.concatenate(x) for x in zip(*held))
+        by = np.lexsort((b, a))
+        a, b, w = a[by], b[by], w[by]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        return a[first], b[first], np.add.reduceat(w, first)
+
+    for batch in batches:
+        for m, data, label in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            sig, n = _members(data)
+            made = _between(sig, n, np.frombuffer(label, "<i8"), m)
+            if made is None or not len(made[0]):
+                continue
+            held.append(made)
+            size += len(made[0])
+            if size > least + 1_500_000:
+                held = [added()]
+                size = least = len(held[0][0])
+                if size > 1_500_000:
+                    yield _pair_batch(*([x] for x in held[0]))
+                    held, size, least = [], 0, 0
+    if held:
+        yield _pair_batch(*([x] for x in added()))
+
+
 #: Labels that are sent to every task; with more, they are joined.
 SENT_LABELS = 2_000_000
 
@@ -278,23 +308,25 @@ def _unlike_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
         node, root = (got.node.to_numpy(), got.root.to_numpy()) if got is not None else (np.empty(0, np.int64), np.empty(0, np.int64))
         sent = spark.sparkContext.broadcast((node, root))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node, root = sent.value
             for batch in batches:
-                a, b, w = [], [], []
+                out = []
                 for m, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    sig, n = _members(data)
-                    label = sig.copy()
+                    sig, _ = _members(data)
+                    label = sig
                     if len(node):
                         at = np.minimum(np.searchsorted(node, sig), len(node) - 1)
                         label = np.where(node[at] == sig, root[at], sig)
-                    if made := _between(sig, n, label, m):
-                        for x, y in zip((a, b, w), made):
-                            x.append(y)
-                if a:
-                    yield _pair_batch(a, b, w)
-
-        pairs = rows.select("k", "data").mapInArrow(run, _PAIRS)
+                    if (label != label[0]).any():
+                        names, times = np.unique(label, return_counts=True)
+                        out.append((int(names[times.argmax()]), m, data, label.tobytes()))
+                cols = list(zip(*out)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["most", "k", "data", "label"])
+
+        # Regions of one crowd meet in a task, which adds up their pairs before they move.
+        together = rows.select("k", "data").mapInArrow(mixed, "most bigint, k bigint, data binary, label binary").repartition("most")
+        pairs = together.select("k", "data", "label").mapInArrow(_counted, _PAIRS)
     else:
 
         def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,7 +417,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size
     return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), alone.alias("component_id"))
 
 
-def _level(documents: DataFrame, points: DataFrame, members: DataFrame, links: DataFrame | None, size: int, sets: DataFrame | None = None) -> DataFrame:
+def _level(documents: DataFrame, points: DataFrame, members: DataFrame, links: DataFrame | None, size: int, sets: DataFrame | None = None, roots: DataFrame | None = None) -> DataFrame:
     """The links of a level's regions, with those known. points: sig, rep, n, open (regions of the window still open)."""
     spark = documents.sparkSession
     if links is None:
@@ -396,7 +428,7 @@ def _level(documents: DataFrame, points: DataFrame, members: DataFrame, links: D
         links = _linked(star, sets)
     else:
         star = None
-    unlike = _unlike_pairs(members, components(links))
+    unlike = _unlike_pairs(members, components(links) if roots is None else roots)
     a, b = (points.select(F.col("sig").alias(k), F.col("n").alias(f"n{k}"), F.col("open").alias(f"open{k}")) for k in "ab")
     sized = unlike.join(a, "a").join(b, "b")
     need = F.expr("ceil(3 * (na + nb) / 7)")
@@ -416,11 +448,21 @@ def _level(documents: DataFrame, points: DataFrame, members: DataFrame, links: D
 def _crowded(documents: DataFrame, left: DataFrame, links: DataFrame, pairs: int, size: int, parts: int) -> tuple[DataFrame, DataFrame]:
     """Links among the documents left, whose regions are too crowded; and those for which that still holds."""
     sets = _fetch(documents, left, size)
-    keyed = sets.select("sig", "n", F.posexplode("keys").alias("r", "key"))
-    pivots = keyed.groupBy("r", "key").agg(F.min(F.struct("sig", "n")).alias("p"))
-    pivot_of = keyed.join(pivots, ["r", "key"]).where("sig <> p.sig and 4 * least(n, p.n) >= 3 * greatest(n, p.n)").select(F.col("p.sig").alias("a"), F.col("sig").alias("b")).distinct()
-    links = scratch.stored(links.unionByName(_linked(pivot_of, sets)), "links")
+    # Sizes are cut into classes twice, half a class apart, so that near sizes share a class in one of them.
+    step = F.log("n") / float(np.log(SIZE_STEP))
+    classed = sets.withColumn("c", F.explode(F.array(F.floor(step), F.floor(step + 0.5) + (1 << 20))))
+    keyed = classed.select("sig", "c", F.posexplode("keys").alias("r", "key"))
     roots = components(links)
+    for turn in range(2):  # every class of every key has a pivot of its own; who is linked with it already isn't compared
+        mine = keyed.where(F.col("r") % 2 == turn)
+        one = F.min_by("sig", F.xxhash64("sig", F.lit(pairs), "r", "c"))
+        pivots = mine.groupBy("r", "key", "c").agg(one.alias("a"))
+        found = mine.join(pivots, ["r", "key", "c"]).where("sig <> a").select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b")).distinct()
+        root = lambda k: F.coalesce(F.col(f"root{k}"), F.col(k))
+        for k in "ab":
+            found = found.join(roots.select(F.col("node").alias(k), F.col("root").alias(f"root{k}")), k, "left")
+        links = scratch.stored(links.unionByName(_linked(found.where(root("a") != root("b")), sets)), "links")
+        roots = components(links)
     labelled = sets.select("sig", "n", "data").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("label"), "data")
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,7 +478,7 @@ def _crowded(documents: DataFrame, left: DataFrame, links: DataFrame, pairs: int
     lost = found.where(F.col("kind") == _LOST).groupBy("sig").agg(F.sum("k").alias("lost"))
     points = scratch.stored(left.join(lost, "sig", "left").select("sig", "rep", "n", (F.col("n") - F.coalesce("lost", F.lit(0))).alias("open")), "points")
     members = found.where(F.col("kind") == _MEMBERS).select("sig", "k", "data")
-    links = _level(documents, points, members, links, size, sets)
+    links = _level(documents, points, members, links, size, sets, roots)
     return links, points.where("open < n - ceil(3 * n / 4) + 1").select("sig", "rep", "n")
 
 
