@@ -125,7 +125,7 @@ def prompt_kind(experiment: Column, condition: Column) -> Column:
 
 def script_safe(json: Column) -> Column:
     """JSON that may stand inside a script element."""
-    for c in "<>&  ":
+    for c in "<>&\u2028\u2029":
         json = F.replace(json, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
     return json
 
