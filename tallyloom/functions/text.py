@@ -82,7 +82,8 @@ def bleu(ref: Column, hyp: Column, max_n: int = 4) -> Column:
     for n in range(1, max_n + 1):
         h = ngrams(hyp, n)
         hits, all_ = overlap(ngrams(ref, n), h), F.size(h)
-        share = F.try_divide(hits + (n > 1), all_ + (n > 1))
+        more = int(n > 1)
+        share = F.try_divide(hits + more, all_ + more)
         logs = logs + F.when((all_ > 0) & (share > 0), F.log(share)).otherwise(0.0)
         used = used + F.when(all_ > 0, 1).otherwise(0)
         none = none | (hits == 0) if n == 1 else none

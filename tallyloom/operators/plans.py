@@ -68,6 +68,6 @@ def clip_timeline(plies: DataFrame, game: str, ply: str, *, n_moves: int, per_mo
     return moves.select(game, "seg", "hold").unionByName(start)
 
 
-def before(plies: DataFrame, game: str, ply: str, state: str, first: str) -> DataFrame:
+def before(plies: DataFrame, game: str, ply: str | list[str], state: str, first: str) -> DataFrame:
     """Each ply with the state that it starts from."""
     return plies.withColumn("before", F.coalesce(F.lag(state).over(Window.partitionBy(game).orderBy(ply)), F.lit(first)))

@@ -31,13 +31,13 @@ def read(spark: SparkSession, path: str, *, schema: str | None = None) -> DataFr
     elif low.endswith(".parquet"):
         rows = spark.read.parquet(path)
     else:
-        reader = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
-        rows = reader.schema(schema + ", _bad string").json(path) if schema else reader.json(path)
-        if "_bad" in rows.columns:
-            if rows.columns == ["_bad"]:
-                raise ManifestError(f"{path}: no row is a JSON object")
-            rows = rows.withColumn("_bad", F.when(F.col("_bad").isNotNull(), F.raise_error(F.concat(F.lit(f"{path}: not a JSON object: "), F.substring("_bad", 1, 80)))))
-            rows = rows.where(F.col("_bad").isNull()).drop("_bad")
+        kind = schema or spark.read.json(path).drop("_corrupt_record").schema.simpleString().removeprefix("struct<").removesuffix(">")
+        if not kind:
+            raise ManifestError(f"{path}: no rows, or none is a JSON object")
+        lines = spark.read.text(path).where(F.trim("value") != "")
+        rows = lines.select(F.from_json("value", f"{kind}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"), "value")
+        bad = F.raise_error(F.concat(F.lit(f"{path}: not a JSON object: "), F.substring("value", 1, 80)))
+        rows = rows.select(F.when(F.col("r._bad").isNotNull(), bad).otherwise(F.col("r")).alias("r")).select("r.*").drop("_bad")
     missing = [c for c in ("sample_id", "experiment") if c not in rows.columns]
     if missing:
         raise ManifestError(f"{path}: no column {missing}")
