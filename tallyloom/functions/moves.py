@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOVE = "struct<move_num:bigint,color:string,from:string,to:string>"
@@ -92,15 +92,16 @@ def alignment(truth: pd.Series, found: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(t, f) for t, f in zip(truth, found)], columns=["loose", "hybrid", "matched"])
 
 
-def move_scores(truth_text: Column, output: Column, half_moves: Column | None = None) -> dict[str, Column]:
-    """Truth is cut to half_moves (a number as text or not; blank for all)."""
-    truth = parse_transcript(truth_text)
+def move_scores(rows: DataFrame, truth_text: str, output: str, half_moves: str | None = None, prefix: str = "score_") -> DataFrame:
+    """rows with the six metrics. Truth is cut to half_moves (a number as text or not; blank for all)."""
+    truth = parse_transcript(F.col(truth_text))
     if half_moves is not None:
-        n = half_moves.cast("string").try_cast("double").cast("int")
+        n = F.col(half_moves).cast("string").try_cast("double").cast("int")
         truth = F.when(n.isNull(), truth).otherwise(F.slice(truth, F.lit(1), F.greatest(n, F.lit(0))))
-    t, f = keys(truth), keys(parse_model_output(output))
-    a = alignment(t, f)
-    return {
-        "strict": F.bround(strict(t, f), 6), "loose": F.bround(a["loose"], 6), "hybrid": F.bround(a["hybrid"], 6),
-        "moves_matched": a["matched"], "moves_expected": F.size(t).cast("bigint"), "moves_predicted": F.size(f).cast("bigint"),
+    named = rows.withColumns({"_t": keys(truth), "_f": keys(parse_model_output(F.col(output)))})
+    named = named.withColumn("_al", alignment("_t", "_f"))
+    out = {
+        "strict": F.bround(strict(F.col("_t"), F.col("_f")), 6), "loose": F.bround("_al.loose", 6), "hybrid": F.bround("_al.hybrid", 6),
+        "moves_matched": F.col("_al.matched"), "moves_expected": F.size("_t").cast("bigint"), "moves_predicted": F.size("_f").cast("bigint"),
     }
+    return named.withColumns({prefix + k: v for k, v in out.items()}).drop("_t", "_f", "_al")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ARTICLES = ("a", "an", "the")
@@ -76,12 +76,14 @@ def brevity(ref: Column, hyp: Column) -> Column:
     return F.when(F.size(hyp) == 0, 0.0).when(F.size(hyp) > F.size(ref), 1.0).otherwise(F.exp(1.0 - F.size(ref) / F.size(hyp)))
 
 
-def bleu(ref: Column, hyp: Column, max_n: int = 4) -> Column:
-    """Smoothed sentence score: orders without n-grams in hyp are skipped, the first is unsmoothed, later ones add one."""
+def bleu(ref: Column, hyp: Column, grams: list[tuple[Column, Column]]) -> Column:
+    """Smoothed sentence score: orders without n-grams in hyp are skipped, the first is unsmoothed, later ones add one.
+
+    grams: the n-grams of both, by order; columns of an earlier projection, as each is gone through for every element.
+    """
     logs, used, none = F.lit(0.0), F.lit(0), F.lit(False)
-    for n in range(1, max_n + 1):
-        h = ngrams(hyp, n)
-        hits, all_ = overlap(ngrams(ref, n), h), F.size(h)
+    for n, (r, h) in enumerate(grams, 1):
+        hits, all_ = overlap(r, h), F.size(h)
         more = int(n > 1)
         share = F.try_divide(hits + more, all_ + more)
         logs = logs + F.when((all_ > 0) & (share > 0), F.log(share)).otherwise(0.0)
@@ -91,6 +93,12 @@ def bleu(ref: Column, hyp: Column, max_n: int = 4) -> Column:
     return F.when(empty | none, 0.0).otherwise(F.exp(F.try_divide(logs, used)) * brevity(ref, hyp))
 
 
+def with_grams(rows: DataFrame, ref: str, hyp: str, max_n: int = 4) -> tuple[DataFrame, list[tuple[Column, Column]]]:
+    """rows with the n-grams of two token columns as _r<n> and _h<n>, and these columns."""
+    out = rows.withColumns({f"_{k}{n}": ngrams(F.col(c), n) for k, c in (("r", ref), ("h", hyp)) for n in range(1, max_n + 1)})
+    return out, [(F.col(f"_r{n}"), F.col(f"_h{n}")) for n in range(1, max_n + 1)]
+
+
 def char_similarity(a: Column, b: Column) -> Column:
     """Of two normalised texts."""
     longest = F.greatest(F.length(a), F.length(b))
@@ -118,7 +126,10 @@ def judge(cell: Column) -> Column:
     return F.when(said.isin(*JUDGE_TRUE), 1.0).when(said.isin(*JUDGE_FALSE), 0.0).otherwise(said.try_cast("double"))
 
 
-def text_scores(truth: Column, output: Column) -> dict[str, Column]:
-    ref, hyp = tokens(truth), tokens(output)
-    out = {"exact_match": exact_match(truth, output), "token_f1": token_f1(ref, hyp), "bleu": bleu(ref, hyp), "char_similarity": char_similarity(normalise(truth), normalise(output)), "wer": word_error_rate(ref, hyp)}
-    return {k: F.bround(v, 6) for k, v in out.items()}
+def text_scores(rows: DataFrame, truth: str, output: str, prefix: str = "score_") -> DataFrame:
+    """rows with the five metrics. Tokens and n-grams are made once, each in a projection before those that go through them."""
+    named = rows.withColumns({"_ref": tokens(F.col(truth)), "_hyp": tokens(F.col(output))})
+    named, grams = with_grams(named.withColumns({"_a": F.array_join("_ref", " "), "_b": F.array_join("_hyp", " ")}), "_ref", "_hyp")
+    ref, hyp, a, b = (F.col(c) for c in ("_ref", "_hyp", "_a", "_b"))
+    out = {"exact_match": (a == b).cast("double"), "token_f1": token_f1(ref, hyp), "bleu": bleu(ref, hyp, grams), "char_similarity": char_similarity(a, b), "wer": word_error_rate(ref, hyp)}
+    return named.withColumns({prefix + k: F.bround(v, 6) for k, v in out.items()}).drop("_ref", "_hyp", "_a", "_b", *[f"_{k}{n}" for k in "rh" for n in range(1, 5)])

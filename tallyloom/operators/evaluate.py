@@ -9,19 +9,24 @@ from pyspark.sql import functions as F
 
 from ..functions import mcq, moves, text
 
-Scorer = Callable[[dict[str, Column]], dict[str, Column]]
+#: A scorer adds its score_ columns to rows with ground_truth and model_output, which are never null.
+Scorer = Callable[[DataFrame], DataFrame]
 
 
-def _asl(c: dict[str, Column]) -> dict[str, Column]:
-    out = text.text_scores(c["ground_truth"], c["model_output"])
-    return out | {k: text.judge(c[k]) for k in ("judge_strict", "judge_loose") if k in c}
+def _mcq(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({f"score_{k}": v for k, v in mcq.mcq_scores(F.col("ground_truth"), F.col("model_output")).items()})
 
 
-SCORERS: dict[str, Scorer] = {
-    "wbw_mcq": lambda c: mcq.mcq_scores(c["ground_truth"], c["model_output"]),
-    "asl": _asl,
-    "chess": lambda c: moves.move_scores(c["ground_truth"], c["model_output"], c.get("n_half_moves")),
-}
+def _asl(rows: DataFrame) -> DataFrame:
+    judges = {f"score_{k}": text.judge(F.col(k)) for k in ("judge_strict", "judge_loose") if k in rows.columns}
+    return text.text_scores(rows, "ground_truth", "model_output").withColumns(judges)
+
+
+def _chess(rows: DataFrame) -> DataFrame:
+    return moves.move_scores(rows, "ground_truth", "model_output", "n_half_moves" if "n_half_moves" in rows.columns else None)
+
+
+SCORERS: dict[str, Scorer] = {"wbw_mcq": _mcq, "asl": _asl, "chess": _chess}
 
 
 def register_scorer(experiment: str, scorer: Scorer) -> None:
@@ -36,18 +41,14 @@ def score(rows: DataFrame, experiments: list[str] | None = None) -> DataFrame:
     if "model_output" not in rows.columns:
         raise ValueError("rows have no model_output")
     names = experiments or list(SCORERS)
-    known = rows.where(F.col("experiment").isin(*names))
-    odd = F.when(~F.coalesce(F.col("experiment").isin(*names), F.lit(False)), F.raise_error(F.concat(F.lit("no scorer for "), F.coalesce("experiment", F.lit("null")))))
-    cols = {c: F.coalesce(F.col(f"`{c}`"), F.lit("")) if c in ("ground_truth", "model_output") else F.col(f"`{c}`") for c in rows.columns}
-    parts = []
-    for name in names:
-        mine = known.where(F.col("experiment") == name)
-        parts.append(mine.withColumns({f"score_{k}": v for k, v in SCORERS[name](cols).items()}))
+    known = F.coalesce(F.col("experiment").isin(*names), F.lit(False))
+    odd = F.raise_error(F.concat(F.lit("no scorer for experiment "), F.coalesce("experiment", F.lit("null"))))
+    told = rows.withColumns({"experiment": F.when(known, F.col("experiment")).otherwise(odd)} | {c: F.coalesce(c, F.lit("")) for c in ("ground_truth", "model_output")})
+    parts = [SCORERS[name](told.where(F.col("experiment") == name)) for name in names]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    bad = rows.where(~F.coalesce(F.col("experiment").isin(*names), F.lit(False))).where(odd.cast("string").isNotNull())
-    return out.unionByName(bad, allowMissingColumns=True)
+    return out
 
 
 def default_groups(rows: DataFrame, run: bool = True) -> list[str]:

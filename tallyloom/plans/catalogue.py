@@ -133,7 +133,8 @@ def text_token_f1(spark, d):
 
 @query(f"with {_PAIRS_SQL}, {_BLEU_SQL} select c.conv_id, c.turn, round_even(({_BLEU})::double, 6) as bleu from c join b using (conv_id, turn)")
 def text_bleu(spark, d):
-    return _pairs(spark, d).select("conv_id", "turn", F.bround(text.bleu(F.col("r"), F.col("h")), 6).alias("bleu"))
+    rows, grams = text.with_grams(_pairs(spark, d), "r", "h")
+    return rows.select("conv_id", "turn", F.bround(text.bleu(F.col("r"), F.col("h"), grams), 6).alias("bleu"))
 
 
 _ASCII = "regexp_matches(array_to_string(r, ' ') || array_to_string(h, ' '), '^[ -~]*$')"
@@ -222,8 +223,8 @@ def moves_strict(spark, d):
 @query()
 def moves_loose_hybrid(spark, d):
     """Alignment has no SQL; tests hold it against brute force."""
-    s = moves.move_scores(F.col("compact"), F.col("said"))
-    return _orders(spark, d).select("l_orderkey", *[c.alias(k) for k, c in s.items()])
+    rows = moves.move_scores(_orders(spark, d), "compact", "said", prefix="")
+    return rows.drop("compact", "said", "tab")
 
 
 # Sampling.
