@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructType
 
 MOVE = "struct<move_num:bigint,color:string,from:string,to:string>"
 #: Fixed patterns of a move in a table, in a compact cell, and in a model's text from the most explicit on.
@@ -77,7 +78,7 @@ def aligned(truth: list[str], found: list[str]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-@F.pandas_udf("loose double, hybrid double, matched bigint")
+@F.pandas_udf(StructType().add("loose", DoubleType()).add("hybrid", DoubleType()).add("matched", LongType()))
 def alignment(truth: pd.Series, found: pd.Series) -> pd.DataFrame:
     """Of key arrays: the share aligned, the share in runs of two or more neighbours in truth, and how many are aligned."""
 

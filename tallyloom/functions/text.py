@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 ARTICLES = ("a", "an", "the")
 
@@ -37,7 +38,7 @@ def tokens(text: Column, strip_articles: bool = True) -> Column:
     return F.filter(words, lambda w: ~w.isin(*gone))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalise_exact(text: pd.Series) -> pd.Series:
     """As normalise(), with the full compatibility decomposition."""
     import re

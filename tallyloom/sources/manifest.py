@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Fixed order of the core columns.
 CORE = (
@@ -31,11 +32,11 @@ def read(spark: SparkSession, path: str, *, schema: str | None = None) -> DataFr
     elif low.endswith(".parquet"):
         rows = spark.read.parquet(path)
     else:
-        kind = schema or spark.read.json(path).drop("_corrupt_record").schema.simpleString().removeprefix("struct<").removesuffix(">")
-        if not kind:
+        kind = spark.createDataFrame([], schema).schema if schema else spark.read.json(path).drop("_corrupt_record").schema
+        if not kind.fields:
             raise ManifestError(f"{path}: no rows, or none is a JSON object")
         lines = spark.read.text(path).where(F.trim("value") != "")
-        rows = lines.select(F.from_json("value", f"{kind}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"), "value")
+        rows = lines.select(F.from_json("value", StructType([*kind.fields, StructField("_bad", StringType())]), {"columnNameOfCorruptRecord": "_bad"}).alias("r"), "value")
         bad = F.raise_error(F.concat(F.lit(f"{path}: not a JSON object: "), F.substring("value", 1, 80)))
         rows = rows.select(F.when(F.col("r._bad").isNotNull(), bad).otherwise(F.col("r")).alias("r")).select("r.*").drop("_bad")
     missing = [c for c in ("sample_id", "experiment") if c not in rows.columns]
