@@ -40,20 +40,21 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    # Bits of each id, and the most of any window from each place on, by doubling; zeros follow the last id.
+    bits = np.zeros(n + 240, np.uint8)
+    bits[:n] = np.frexp(ids.astype(np.float64))[1]
+    bits[:n][ids >= np.uint64(1) << np.uint64(60)] = 64
+    widest = {1: bits}
+    for count in sorted({c for c, _ in SLOTS} - {1}):
+        half = max(k for k in widest if k < count)
+        other = max(k for k in widest if k <= count - half) if count - half in widest else half
+        most = widest[half]
+        widest[count] = np.maximum(most[: len(most) - (count - other)], widest[other][count - other : count - other + len(most) - (count - other)])
     pick = np.full(n, 15, dtype=np.int8)
-    pick[ids >= np.uint64(1) << np.uint64(60)] = 0
+    pick[bits[:n] > 60] = 0
     for k in range(14, 0, -1):  # the selector with most ids that fits from each place on
-        count, bits = SLOTS[k]
-        bad = np.flatnonzero(ids >> np.uint64(bits)) if bits else np.flatnonzero(ids)
-        if not len(bad):
-            pick[:] = k
-            continue
-        if len(bad) == n:
-            continue
-        following = bad[np.minimum(np.searchsorted(bad, np.arange(n)), len(bad) - 1)]
-        after = np.where(np.arange(n) > bad[-1], n + 200, following)
-        run = after - np.arange(n)
-        pick[(run >= np.minimum(count, n - np.arange(n))) & (run > 0)] = k
+        count, width = SLOTS[k]
+        pick[widest[count][:n] <= width] = k
     step = _COUNT[pick].tolist()
     at, starts = 0, []
     while at < n:

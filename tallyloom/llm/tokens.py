@@ -13,10 +13,11 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
-#: Between these, every byte-level pre-tokenizer splits: before the space of a word, and between a letter and a mark.
-_CUT = re.compile(r"(?<=[!-~À-ɏ])(?= [!-~À-ɏ])|(?<=[a-zÀ-ɏ])(?=[,.])")
+#: White space other than single spaces and line ends.
+_ODD = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+_DOUBLE = ("  ", " \n", "\n ", "\n\n")
 #: Entries in a worker's table of chunks; a full table is emptied, results do not change.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 1_000_000
 #: Longer chunks are rare words or unspaced text and are not remembered.
 MEMO_CHARS = 40
 
@@ -35,15 +36,23 @@ def _byte_letters() -> dict[int, int]:
 
 
 class _Memo(dict):
-    """Chunk -> ids; what is missing is encoded."""
-
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.make(chunk)
-        if len(chunk) <= MEMO_CHARS:
-            self[chunk] = ids
+    """Word -> ids of the word after lead; what is missing is put together from its parts, or encoded.
+
+    A word that starts with a line end stands for that line end and the word after it.
+    """
+
+    def __init__(self, lead: str, make, bare: _Memo | None = None):
+        self.lead, self.make, self.bare = lead, make, self if bare is None else bare
+
+    def __missing__(self, word: str) -> bytes:
+        if word[:1] == "\n" and len(word) > 1:
+            ids = self.bare["\n"] + self.bare[word[1:]]
+        elif word[-1:] in (",", ".") and word[-2:-1].isalpha():
+            ids = self[word[:-1]] + self.bare[word[-1]]
+        else:
+            ids = self.make(self.lead + word if word != "\n" else word)
+        if len(word) <= MEMO_CHARS:
+            self[word] = ids
         return ids
 
 
@@ -61,7 +70,8 @@ class Encoder:
         self.chunked = kind == "ByteLevel" and self.tok.normalizer is None
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
-        self.memo = _Memo(self._raw)
+        self.bare = _Memo("", self._raw)
+        self.memo = _Memo(" ", self._raw, self.bare)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -79,16 +89,18 @@ class Encoder:
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text; null counts as empty."""
-        memo = self.memo
+        memo, bare = self.memo, self.bare
         for text in texts:
             if not text:
                 yield b""
-            elif not self.chunked or any(s in text for s in self.special):
+            elif not self.chunked or _ODD.search(text) or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _DOUBLE) or any(s in text for s in self.special):
                 yield self._raw_whole(text)
             else:
                 if len(memo) > MEMO_ENTRIES:
                     memo.clear()
-                yield b"".join(map(memo.__getitem__, _CUT.split(text)))
+                    bare.clear()
+                parts = text.replace("\n", " \n").split(" ")
+                yield bare[parts[0]] + b"".join(map(memo.__getitem__, parts[1:]))
 
     def _raw_whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
