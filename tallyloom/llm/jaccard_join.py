@@ -29,9 +29,9 @@ from . import scratch
 from .components import components
 
 #: Pairs of unlike documents that a region of the first level may hold; wider by WIDER at each level after it.
-REGION_PAIRS, WIDER = 2016, 64
+REGION_PAIRS, WIDER = 2016, 1024
 #: Minimum hashes by which crowds are collapsed, and the ratio of the sizes that share a pivot.
-MIN_KEYS, SIZE_STEP = 6, 1.25
+MIN_KEYS, SIZE_STEP = 3, 1.25
 _TOP = float(1 << 64)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -231,20 +231,19 @@ def _fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def _to_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each region's pivot, its smallest member, with all others whose size allows a link."""
+    """Each region's pivot, its smallest member, with all others whose size allows a link, and in how many regions so."""
     for batch in batches:
         a, b, w = [], [], []
-        for data in batch.column(0).to_pylist():
+        for m, data in zip(*(batch.column(i).to_pylist() for i in range(2))):
             sig, n = _members(data)
             k = int(sig.argmin())
             fit = _fits(n, n[k])
             fit[k] = False
             a.append(np.full(int(fit.sum()), sig[k]))
             b.append(sig[fit])
-            w.append(np.ones(int(fit.sum())))
+            w.append(np.full(int(fit.sum()), m))
         if a:
-            both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-            yield _pair_batch([both[0]], [both[1]], [np.ones(both.shape[1])])
+            yield _pair_batch(*([x] for x in _added([tuple(map(np.concatenate, (a, b, w)))])))
 
 
 def _between(sig: np.ndarray, n: np.ndarray, label: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
@@ -266,33 +265,66 @@ def _sparse(label: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(i), np.concatenate(j)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    size, least = 0, 0
-
-    def added() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b, w = (np.concatenate(x) for x in zip(*held))
-        by = np.lexsort((b, a))
-        a, b, w = a[by], b[by], w[by]
-        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        return a[first], b[first], np.add.reduceat(w, first)
-
-    for batch in batches:
-        for m, data, label in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            sig, n = _members(data)
-            made = _between(sig, n, np.frombuffer(label, "<i8"), m)
-            if made is None or not len(made[0]):
-                continue
+def _added(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal pairs put together."""
+    a, b, w = (np.concatenate(x) for x in zip(*held))
+    by = np.lexsort((b, a))
+    a, b, w = a[by], b[by], w[by]
+    if not len(a):
+        return a, b, w
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return a[first], b[first], np.add.reduceat(w, first)
+
+
+#: Members of a crowd whose pairs are counted in a matrix.
+DENSE = 4000
+
+
+def _count_crowd(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a crowd, whose regions (times, sigs, sizes, labels) hold much the same members."""
+    sig, at = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
+    if len(rows) > 1 and len(sig) <= DENSE:
+        n, label = np.empty(len(sig), np.int64), np.empty(len(sig), np.int64)
+        n[at], label[at] = np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows])
+        ends = np.cumsum([len(r[1]) for r in rows])
+        together = np.zeros((len(sig), len(sig)), np.float32)
+        for k in range(0, len(rows), 1000):
+            some = rows[k : k + 1000]
+            inside = np.zeros((len(some), len(sig)), np.float32)
+            for j, r in enumerate(some):
+                inside[j, at[ends[k + j] - len(r[1]) : ends[k + j]]] = 1
+            together += (inside * np.array([[r[0]] for r in some], np.float32)).T @ inside
+        i, j = np.nonzero(np.triu(together, 1) * ((label[:, None] != label) & _fits(n[:, None], n)))
+        for k in range(0, len(i), 500_000):
+            x, y = i[k : k + 500_000], j[k : k + 500_000]
+            yield _pair_batch([sig[x]], [sig[y]], [together[x, y]])
+        return
+    held, size = [], 0
+    for m, s, n, label in rows:
+        made = _between(s, n, label, m)
+        if made is not None and len(made[0]):
             held.append(made)
             size += len(made[0])
-            if size > least + 1_500_000:
-                held = [added()]
-                size = least = len(held[0][0])
-                if size > 1_500_000:
-                    yield _pair_batch(*([x] for x in held[0]))
-                    held, size, least = [], 0, 0
+        if size > 2_000_000:
+            yield _pair_batch(*([x] for x in _added(held)))
+            held, size = [], 0
     if held:
-        yield _pair_batch(*([x] for x in added()))
+        yield _pair_batch(*([x] for x in _added(held)))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (most, k, data, label) in the order of most to pairs; the regions of a crowd are counted together."""
+    crowd, rows, size = None, [], 0
+    for batch in batches:
+        for most, m, data, label in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if rows and (most != crowd or size > 5_000_000):
+                yield from _count_crowd(rows)
+                rows, size = [], 0
+            crowd = most
+            rows.append((m, *_members(data), np.frombuffer(label, "<i8")))
+            size += len(label) // 8
+    if rows:
+        yield from _count_crowd(rows)
 
 
 #: Labels that are sent to every task; with more, they are joined.
@@ -325,8 +357,8 @@ def _unlike_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["most", "k", "data", "label"])
 
         # Regions of one crowd meet in a task, which adds up their pairs before they move.
-        together = rows.select("k", "data").mapInArrow(mixed, "most bigint, k bigint, data binary, label binary").repartition("most")
-        pairs = together.select("k", "data", "label").mapInArrow(_counted, _PAIRS)
+        together = rows.select("k", "data").mapInArrow(mixed, "most bigint, k bigint, data binary, label binary").repartition("most").sortWithinPartitions("most")
+        pairs = together.mapInArrow(_counted, _PAIRS)
     else:
 
         def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,8 +375,11 @@ def _unlike_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.sum("w").alias("w"))
 
 
-def _fetch(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """sig, n, keys and data (the whole set) of the wanted sets, from one document of each (wanted: sig, rep)."""
+def _fetch(documents: DataFrame, wanted: DataFrame, size: int, unique: bool) -> DataFrame:
+    """sig, n, keys and data (the whole set) of the wanted sets, from one document of each (wanted: sig, rep).
+
+    unique: no doc_id repeats; else sets that another row with such an id brings twice are made one.
+    """
     ids = wanted.select(F.col("rep").alias("_rep")).distinct()
     ids = F.broadcast(ids) if scratch.small_enough(ids, 1_000_000) else ids
     rows = documents.join(ids, F.col("doc_id") == F.col("_rep"), "left_semi")
@@ -359,7 +394,8 @@ def _fetch(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "sig": pa.array([_signed(_sign(s)) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()), "keys": pa.array(keys, pa.list_(pa.int64())), "data": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    return scratch.stored(rows.mapInArrow(run, "sig bigint, n int, keys array<bigint>, data binary").dropDuplicates(["sig"]), "sets")
+    made = rows.mapInArrow(run, "sig bigint, n int, keys array<bigint>, data binary")
+    return scratch.stored(made if unique else made.dropDuplicates(["sig"]), "sets")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -402,11 +438,12 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size
     lost = found.where(F.col("kind") == _LOST).groupBy("sig").agg(F.sum("k").alias("lost"))
     points = scratch.stored(points.join(lost, "sig", "left").select("sig", "rep", "n", (F.col("k") - F.coalesce("lost", F.lit(0))).alias("open")), "points")
     members = found.where(F.col("kind") == _MEMBERS).select("sig", "k", "data")
-    links = _level(documents, points, members, None, size)
+    unique = rows.groupBy("doc_id").count().where("count > 1").isEmpty()
+    links = _level(documents, points, members, None, size, unique)
     left = points.where("open < n - ceil(3 * n / 4) + 1").select("sig", "rep", "n")
     pairs = REGION_PAIRS
     while not left.isEmpty():
-        links, left = _crowded(documents, left, links, pairs, size, parts)
+        links, left = _crowded(documents, left, links, pairs, size, parts, unique)
         pairs *= WIDER
     roots = components(links)
     named = points.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")).select("sig", "rep", "root")
@@ -417,23 +454,24 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size
     return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), alone.alias("component_id"))
 
 
-def _level(documents: DataFrame, points: DataFrame, members: DataFrame, links: DataFrame | None, size: int, sets: DataFrame | None = None, roots: DataFrame | None = None) -> DataFrame:
+def _level(documents: DataFrame, points: DataFrame, members: DataFrame, links: DataFrame | None, size: int, unique: bool, sets: DataFrame | None = None, roots: DataFrame | None = None) -> DataFrame:
     """The links of a level's regions, with those known. points: sig, rep, n, open (regions of the window still open)."""
-    spark = documents.sparkSession
+    a, b = (points.select(F.col("sig").alias(k), F.col("n").alias(f"n{k}"), F.col("open").alias(f"open{k}")) for k in "ab")
+    # What a pair shares is in sight where the larger set's regions are open; all else may be shared unseen.
+    unseen = F.expr("case when na > nb then na - opena when nb > na then nb - openb else least(na - opena, nb - openb) end")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        return pairs.join(a, "a").join(b, "b").where(F.col("w") + unseen >= F.expr("ceil(3 * (na + nb) / 7)")).select("a", "b")
+
+    star = None
     if links is None:
-        links = spark.createDataFrame([], "a bigint, b bigint")
-        star = scratch.stored(members.select("data").mapInArrow(_to_pivot, _PAIRS).select("a", "b").distinct(), "star")
+        # Pairs with a pivot that one region's pivot has too little evidence for are left to the count over all regions.
+        seen = members.select("k", "data").mapInArrow(_to_pivot, _PAIRS).groupBy("a", "b").agg(F.sum("w").alias("w"))
+        star = scratch.stored(possible(seen), "star")
         near = star.select(F.col("a").alias("sig")).union(star.select(F.col("b").alias("sig"))).distinct()
-        sets = _fetch(documents, near.join(points, "sig").select("sig", "rep"), size)
+        sets = _fetch(documents, near.join(points, "sig").select("sig", "rep"), size, unique)
         links = _linked(star, sets)
-    else:
-        star = None
-    unlike = _unlike_pairs(members, components(links) if roots is None else roots)
-    a, b = (points.select(F.col("sig").alias(k), F.col("n").alias(f"n{k}"), F.col("open").alias(f"open{k}")) for k in "ab")
-    sized = unlike.join(a, "a").join(b, "b")
-    need = F.expr("ceil(3 * (na + nb) / 7)")
-    unseen = F.expr("case when na > nb then na - opena when nb > na then nb - openb else least(na - opena, nb - openb) end")
-    open_ = sized.where(F.col("w") + unseen >= need).select("a", "b")
+    open_ = possible(_unlike_pairs(members, components(links) if roots is None else roots))
     if star is not None:
         open_ = open_.join(star, ["a", "b"], "left_anti")
     open_ = scratch.stored(open_, "open")
@@ -441,28 +479,23 @@ def _level(documents: DataFrame, points: DataFrame, members: DataFrame, links: D
         return links
     missing = open_.select(F.col("a").alias("sig")).union(open_.select(F.col("b").alias("sig"))).distinct().join(sets, "sig", "left_anti")
     if not missing.isEmpty():
-        sets = sets.unionByName(_fetch(documents, missing.join(points, "sig").select("sig", "rep"), size))
+        sets = sets.unionByName(_fetch(documents, missing.join(points, "sig").select("sig", "rep"), size, unique))
     return scratch.stored(links.unionByName(_linked(open_, sets)), "links")
 
 
-def _crowded(documents: DataFrame, left: DataFrame, links: DataFrame, pairs: int, size: int, parts: int) -> tuple[DataFrame, DataFrame]:
+def _crowded(documents: DataFrame, left: DataFrame, links: DataFrame, pairs: int, size: int, parts: int, unique: bool) -> tuple[DataFrame, DataFrame]:
     """Links among the documents left, whose regions are too crowded; and those for which that still holds."""
-    sets = _fetch(documents, left, size)
+    sets = _fetch(documents, left, size, unique)
     # Sizes are cut into classes twice, half a class apart, so that near sizes share a class in one of them.
     step = F.log("n") / float(np.log(SIZE_STEP))
     classed = sets.withColumn("c", F.explode(F.array(F.floor(step), F.floor(step + 0.5) + (1 << 20))))
     keyed = classed.select("sig", "c", F.posexplode("keys").alias("r", "key"))
+    # Every class of every key has a pivot of its own, another at each level.
+    one = F.min_by("sig", F.xxhash64("sig", F.lit(pairs), "r", "c"))
+    pivots = keyed.groupBy("r", "key", "c").agg(one.alias("a"))
+    found = keyed.join(pivots, ["r", "key", "c"]).where("sig <> a").select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b")).distinct()
+    links = scratch.stored(links.unionByName(_linked(found.join(links, ["a", "b"], "left_anti"), sets)), "links")
     roots = components(links)
-    for turn in range(2):  # every class of every key has a pivot of its own; who is linked with it already isn't compared
-        mine = keyed.where(F.col("r") % 2 == turn)
-        one = F.min_by("sig", F.xxhash64("sig", F.lit(pairs), "r", "c"))
-        pivots = mine.groupBy("r", "key", "c").agg(one.alias("a"))
-        found = mine.join(pivots, ["r", "key", "c"]).where("sig <> a").select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b")).distinct()
-        root = lambda k: F.coalesce(F.col(f"root{k}"), F.col(k))
-        for k in "ab":
-            found = found.join(roots.select(F.col("node").alias(k), F.col("root").alias(f"root{k}")), k, "left")
-        links = scratch.stored(links.unionByName(_linked(found.where(root("a") != root("b")), sets)), "links")
-        roots = components(links)
     labelled = sets.select("sig", "n", "data").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("label"), "data")
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -478,7 +511,7 @@ def _crowded(documents: DataFrame, left: DataFrame, links: DataFrame, pairs: int
     lost = found.where(F.col("kind") == _LOST).groupBy("sig").agg(F.sum("k").alias("lost"))
     points = scratch.stored(left.join(lost, "sig", "left").select("sig", "rep", "n", (F.col("n") - F.coalesce("lost", F.lit(0))).alias("open")), "points")
     members = found.where(F.col("kind") == _MEMBERS).select("sig", "k", "data")
-    links = _level(documents, points, members, links, size, sets, roots)
+    links = _level(documents, points, members, links, size, unique, sets, roots)
     return links, points.where("open < n - ceil(3 * n / 4) + 1").select("sig", "rep", "n")
 
 
