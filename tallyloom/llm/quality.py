@@ -115,7 +115,13 @@ def judged(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: s
 
 
 def kept_documents(docs: DataFrame, **how) -> DataFrame:
-    return judged(docs, **how).where("kept").select(*docs.columns)
+    """The rows of docs that are kept.
+
+    The row number keeps the filter above the projections: pushed below, it would hold their array functions one inside the
+    other and make every word's hashes anew for each window.
+    """
+    rows = judged(docs, **how).withColumn("_row", F.monotonically_increasing_id())
+    return rows.where(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
