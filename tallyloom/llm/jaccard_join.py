@@ -276,16 +276,37 @@ def _added(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.nd
     return a[first], b[first], np.add.reduceat(w, first)
 
 
-#: Members of a crowd whose pairs are counted in a matrix.
-DENSE = 4000
+#: Members of a crowd whose pairs are counted in a matrix, and how many of its rows are looked through at once.
+DENSE, BLOCK = 4000, 500
+#: Of each set (in order): the regions it shares with unlike sets, and its regions that are open.
+_Sight = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def _count_crowd(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a crowd, whose regions (times, sigs, sizes, labels) hold much the same members."""
+def _in_sight(sight: _Sight | None, sig: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shared and open regions of the sets; all of them where that is unknown."""
+    if sight is None or not len(sight[0]):
+        return n, n
+    at = np.minimum(np.searchsorted(sight[0], sig), len(sight[0]) - 1)
+    known = sight[0][at] == sig
+    return np.where(known, sight[1][at], n), np.where(known, sight[2][at], n)
+
+
+def _may_link(w: np.ndarray, na: np.ndarray, nb: np.ndarray, elsewhere_a: np.ndarray, elsewhere_b: np.ndarray, open_a: np.ndarray, open_b: np.ndarray) -> np.ndarray:
+    """Whether pairs counted w times here could still have enough in common, all regions elsewhere shared."""
+    unseen = np.where(na > nb, na - open_a, np.where(nb > na, nb - open_b, np.minimum(na - open_a, nb - open_b)))
+    return 7 * (w + np.minimum(elsewhere_a, elsewhere_b) + unseen) >= 3 * (na + nb)
+
+
+def _count_crowd(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], sight: _Sight | None) -> Iterator[pa.RecordBatch]:
+    """Pairs of a crowd, whose regions (times, sigs, sizes, labels) hold much the same members.
+
+    A pair that cannot have enough in common, whatever it shares in regions that are counted elsewhere, is left out.
+    """
     sig, at = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
+    n, label = np.empty(len(sig), np.int64), np.empty(len(sig), np.int64)
+    n[at], label[at] = np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows])
+    shared, opened = _in_sight(sight, sig, n)
     if len(rows) > 1 and len(sig) <= DENSE:
-        n, label = np.empty(len(sig), np.int64), np.empty(len(sig), np.int64)
-        n[at], label[at] = np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows])
         ends = np.cumsum([len(r[1]) for r in rows])
         together = np.zeros((len(sig), len(sig)), np.float32)
         for k in range(0, len(rows), 1000):
@@ -294,45 +315,76 @@ def _count_crowd(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) ->
             for j, r in enumerate(some):
                 inside[j, at[ends[k + j] - len(r[1]) : ends[k + j]]] = 1
             together += (inside * np.array([[r[0]] for r in some], np.float32)).T @ inside
-        i, j = np.nonzero(np.triu(together, 1) * ((label[:, None] != label) & _fits(n[:, None], n)))
-        for k in range(0, len(i), 500_000):
-            x, y = i[k : k + 500_000], j[k : k + 500_000]
-            yield _pair_batch([sig[x]], [sig[y]], [together[x, y]])
+        elsewhere = shared - np.diagonal(together).astype(np.int64)
+        for k in range(0, len(sig), BLOCK):
+            i, j = np.nonzero(np.triu(together[k : k + BLOCK], k + 1) * (label[k : k + BLOCK, None] != label))
+            i += k
+            w = together[i, j].astype(np.int64)
+            ok = _fits(n[i], n[j]) & _may_link(w, n[i], n[j], elsewhere[i], elsewhere[j], opened[i], opened[j])
+            if ok.any():
+                yield _pair_batch([sig[i[ok]]], [sig[j[ok]]], [w[ok]])
         return
-    held, size = [], 0
-    for m, s, n, label in rows:
-        made = _between(s, n, label, m)
+    held, size, here = [], 0, np.zeros(len(sig), np.int64)
+
+    def done() -> pa.RecordBatch:
+        a, b, w = _added(held)
+        i, j = np.searchsorted(sig, a), np.searchsorted(sig, b)
+        ok = _may_link(w, n[i], n[j], shared[i] - here[i], shared[j] - here[j], opened[i], opened[j])
+        return _pair_batch([a[ok]], [b[ok]], [w[ok]])
+
+    for m, s, size_of, labels in rows:
+        here[np.searchsorted(sig, s)] += m
+        made = _between(s, size_of, labels, m)
         if made is not None and len(made[0]):
             held.append(made)
             size += len(made[0])
         if size > 2_000_000:
-            yield _pair_batch(*([x] for x in _added(held)))
-            held, size = [], 0
+            yield done()
+            held.clear()
+            size, here[:] = 0, 0
     if held:
-        yield _pair_batch(*([x] for x in _added(held)))
+        yield done()
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted_with(sight):
     """Rows (most, k, data, label) in the order of most to pairs; the regions of a crowd are counted together."""
-    crowd, rows, size = None, [], 0
+
+    def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sight.value if sight is not None else None
+        crowd, rows, size = None, [], 0
+        for batch in batches:
+            for most, m, data, label in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if rows and (most != crowd or size > 5_000_000):
+                    yield from _count_crowd(rows, known)
+                    rows, size = [], 0
+                crowd = most
+                rows.append((m, *_members(data), np.frombuffer(label, "<i8")))
+                size += len(label) // 8
+        if rows:
+            yield from _count_crowd(rows, known)
+
+    return _counted
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k, data) of regions to their members (sig, t), with the regions t that they are in."""
     for batch in batches:
-        for most, m, data, label in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if rows and (most != crowd or size > 5_000_000):
-                yield from _count_crowd(rows)
-                rows, size = [], 0
-            crowd = most
-            rows.append((m, *_members(data), np.frombuffer(label, "<i8")))
-            size += len(label) // 8
-    if rows:
-        yield from _count_crowd(rows)
+        got = [(_members(data)[0], m) for m, data in zip(*(batch.column(i).to_pylist() for i in range(2)))]
+        if got:
+            sig, at = np.unique(np.concatenate([s for s, _ in got]), return_inverse=True)
+            t = np.bincount(at, np.repeat([m for _, m in got], [len(s) for s, _ in got]), len(sig))
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(t.astype(np.int64))], names=["sig", "t"])
 
 
 #: Labels that are sent to every task; with more, they are joined.
 SENT_LABELS = 2_000_000
 
 
-def _unlike_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """a, b, w: pairs of members with different labels, and in how many regions they are together."""
+def _unlike_pairs(members: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
+    """a, b, w: pairs of members with different labels, and in how many regions they are together.
+
+    Pairs that are in too few regions to be links, by the points' sizes and open regions, may be left out.
+    """
     spark = members.sparkSession
     rows = members.groupBy("sig").agg(F.sum("k").alias("k"), F.first("data").alias("data"))
     if scratch.small_enough(labels, SENT_LABELS):
@@ -357,8 +409,14 @@ def _unlike_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["most", "k", "data", "label"])
 
         # Regions of one crowd meet in a task, which adds up their pairs before they move.
-        together = rows.select("k", "data").mapInArrow(mixed, "most bigint, k bigint, data binary, label binary").repartition("most").sortWithinPartitions("most")
-        pairs = together.mapInArrow(_counted, _PAIRS)
+        unlike = scratch.stored(rows.select("k", "data").mapInArrow(mixed, "most bigint, k bigint, data binary, label binary"), "unlike")
+        seen = unlike.select("k", "data").mapInArrow(_shared, "sig bigint, t bigint").groupBy("sig").agg(F.sum("t").alias("t"))
+        seen = scratch.stored(seen.join(points, "sig").select("sig", "t", "open"), "sight")
+        sight = None
+        if scratch.small_enough(seen, SENT_LABELS):
+            got = seen.orderBy("sig").toPandas()
+            sight = spark.sparkContext.broadcast(tuple(got[c].to_numpy(np.int64) for c in ("sig", "t", "open")))
+        pairs = unlike.repartition("most").sortWithinPartitions("most").mapInArrow(_counted_with(sight), _PAIRS)
     else:
 
         def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -471,7 +529,7 @@ def _level(documents: DataFrame, points: DataFrame, members: DataFrame, links: D
         near = star.select(F.col("a").alias("sig")).union(star.select(F.col("b").alias("sig"))).distinct()
         sets = _fetch(documents, near.join(points, "sig").select("sig", "rep"), size, unique)
         links = _linked(star, sets)
-    open_ = possible(_unlike_pairs(members, components(links) if roots is None else roots))
+    open_ = possible(_unlike_pairs(members, components(links) if roots is None else roots, points))
     if star is not None:
         open_ = open_.join(star, ["a", "b"], "left_anti")
     open_ = scratch.stored(open_, "open")

@@ -222,6 +222,35 @@ def test_near_duplicates_against_brute_force(spark, docs, empty, monkeypatch):
     assert jaccard_join.one_of_each(docs).where("doc_id = 0").count() == 1 and jaccard_join.classes(empty).count() == 0
 
 
+@pytest.mark.parametrize("dense", [4000, 0])
+@pytest.mark.parametrize("known", [True, False])
+def test_crowd_leaves_out_only_pairs_that_cannot_link(monkeypatch, dense, known):
+    monkeypatch.setattr(jaccard_join, "DENSE", dense)
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 10**9, 40)
+    sets = [set(base[rng.random(40) < 0.9].tolist()) | set(rng.integers(0, 10**9, rng.integers(0, 6)).tolist()) for _ in range(60)]
+    sizes, label = np.array([len(s) for s in sets]), np.arange(60) // 2
+    rows, shared = [], np.zeros(60, np.int64)
+    for g in sorted(set().union(*sets)):
+        who = np.array([i for i, s in enumerate(sets) if g in s])
+        if len(set(label[who])) > 1:
+            rows.append((1, who, sizes[who], label[who]))
+            shared[who] += 1
+    sight = (np.arange(60), shared, sizes) if known else None
+    got = {}
+    for part in (rows[::2], rows[1::2]):  # as when two tasks hold regions of one pair
+        for batch in jaccard_join._count_crowd(part, sight):
+            for r in batch.to_pylist():
+                got[r["a"], r["b"]] = got.get((r["a"], r["b"]), 0) + r["w"]
+    pairs = {(i, j): len(sets[i] & sets[j]) for i in range(60) for j in range(i + 1, 60) if label[i] != label[j]}
+    links = {p for p, w in pairs.items() if 175 * w >= 75 * (sizes[p[0]] + sizes[p[1]])}
+    assert links and links < set(pairs) and all(got.get(p) == pairs[p] for p in links)
+    assert {p for p, w in got.items() if 175 * w >= 75 * (sizes[p[0]] + sizes[p[1]])} == links
+    if known:
+        whole = {(r["a"], r["b"]) for batch in jaccard_join._count_crowd(rows, sight) for r in batch.to_pylist()}
+        assert whole == links
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 40), (None, 3), (7, 7)], "a bigint, b bigint")
     got = {r.node: r.root for r in components.components(links).collect()}
