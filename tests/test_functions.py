@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import items, mcq, moves, text
 from tallyloom.operators import chess, evaluate, sampling
+from tallyloom.plans import catalogue
 
 
 def one(spark, expr, **cols):
@@ -92,3 +93,27 @@ def test_unknown_experiment_raises(spark):
 def test_chess():
     assert [chess.perft(k) for k in (1, 2, 3)] == [20, 400, 8902]
     assert chess.plies(7, 30) == chess.plies(7, 30)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def turns(spark, tmp_path, *texts):
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id int, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    return str(tmp_path)
+
+
+def test_wer_of_whole_turns(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    said = [" ".join(f"w{rng.randrange(k)}" for _ in range(n)) for k, n in ((9, 150), (9, 170), (400, 300), (400, 20), (3, 70))]
+    said.append(said[-1] + " more words at this end")
+    got = {r.turn: r.wer for r in catalogue.QUERIES["text_wer"](spark, turns(spark, tmp_path, *said)).collect()}
+    assert got == {i: pytest.approx(edits(a.split(), b.split()) / len(a.split()), abs=1e-6) for i, (a, b) in enumerate(zip(said, said[1:]))}
