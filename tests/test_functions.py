@@ -117,3 +117,17 @@ def test_wer_of_whole_turns(spark, tmp_path):
     said.append(said[-1] + " more words at this end")
     got = {r.turn: r.wer for r in catalogue.QUERIES["text_wer"](spark, turns(spark, tmp_path, *said)).collect()}
     assert got == {i: pytest.approx(edits(a.split(), b.split()) / len(a.split()), abs=1e-6) for i, (a, b) in enumerate(zip(said, said[1:]))}
+
+
+def test_char_similarity_of_all_pairs(spark, tmp_path):
+    said = ["straße und gruß", "strasse und gruss", "привет мир", "привет, миры!", "καλημέρα κόσμε", "日本語 テキスト", "日本 テキスト", "plain words", ""]
+    got = {r.turn: r.sim for r in catalogue.QUERIES["text_char_similarity"](spark, turns(spark, tmp_path, *said)).collect()}
+    flat = [text_of(t) for t in said]
+    assert got == {i: pytest.approx(1 - edits(a, b) / max(len(a), len(b)), abs=1e-6) for i, (a, b) in enumerate(zip(flat, flat[1:]))}
+
+
+def text_of(t):
+    import unicodedata
+
+    plain = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower()
+    return " ".join("".join(c if c.isalnum() or c == "_" else " " for c in plain).split())
