@@ -27,15 +27,18 @@ MEMO_ENTRIES = 200_000
 #: Kinds and how they look; the first that matches at a place is tried.
 LOOKS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}",
-    "credential": r"\bAKIA[0-9A-Z]{16}\b|(?i:(?<=password=)|(?<=passwd=)|(?<=secret=)|(?<=api_key=)|(?<=token=))[0-9A-Za-z]{8,}|(?<== \")[0-9a-f]{32,64}(?=\")",
+    "credential": r"\bAKIA[0-9A-Z]{16}\b|(?i:(?<=password=)|(?<=passwd=)|(?<=secret=)|(?<=api_key=)|(?<=token=))[0-9A-Za-z]{8,}|(?<== \")[0-9A-Fa-f]{32,64}(?=\")",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])",
     "date": r"(?<![0-9/.\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}(?P<sep>[/.\-])[0-9]{1,2}(?P=sep)[0-9]{4})(?![0-9])(?![/.\-][0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "card": r"(?<![0-9+])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
-    "phone": r"(?<![0-9])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,5}){2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9\-.])[0-9]{3}([.\-])[0-9]{3}\3[0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,5}){2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9\-.])[0-9]{3}(?P<mark>[.\-])[0-9]{3}(?P=mark)[0-9]{4}(?![0-9])",
 }
-_LOOK = re.compile("|".join(f"(?P<{k}>{v})" for k, v in LOOKS.items()).replace(r"\3", "(?P=mark)").replace(r"([.\-])[0-9]{3}", r"(?P<mark>[.\-])[0-9]{3}"))
+_LOOK = re.compile("|".join(f"(?P<{k}>{v})" for k, v in LOOKS.items()))
+_AT = {k: re.compile(v) for k, v in LOOKS.items()}
+#: Kinds whose match may run on into what follows, and the separators of their groups.
+_GROUPED = {"iban": " ", "card": " -", "phone": " .-"}
 _MAYBE = re.compile(r"[0-9@]|AKIA|(?i:password=|passwd=|secret=|api_key=|token=)")
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _IN = {c: k for k in _CLASSES for c in k}
@@ -191,34 +194,93 @@ def _email(s: str, p: Permuter) -> str:
 _MAKE = {"email": _email, "ip": _ip, "card": _card, "phone": _phone, "ssn": _ssn, "iban": _iban, "date": _date, "credential": lambda s, p: p.text(s[4:] if s.startswith("AKIA") else s, "credential") if not s.startswith("AKIA") else "AKIA" + p.text(s[4:], "akia")}
 
 
+#: Lengths of account numbers by country.
+_IBAN = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+
+
+def _usual(kind: str, s: str) -> bool:
+    """Whether s has the length that its issuer, country or number plan gives."""
+    if kind == "iban":
+        return len(s.replace(" ", "")) == _IBAN.get(s[:2])
+    d = _digits(s)
+    if kind == "phone":
+        return s.startswith("+1") and len(d) == 11
+    return d[0] in "23456" and len(d) == (15 if d[:2] in ("34", "37") else 14 if d[:2] in ("30", "36", "38") else 16)
+
+
 class Pseudonymiser:
     def __init__(self, key: bytes = DEFAULT_KEY):
         self.permuter = Permuter(key)
         self.memo: dict[tuple[str, str], str | None] = {}
 
+    def _made(self, kind: str, found: str) -> str | None:
+        was = (kind, found)
+        if was not in self.memo:
+            if len(self.memo) >= MEMO_ENTRIES:
+                self.memo.clear()
+            self.memo[was] = _MAKE[kind](found, self.permuter)
+        return self.memo[was]
+
+    def _valid(self, kind: str, found: str) -> list[str]:
+        """The match and the shorter ones that end at a separator, as far as they are valid, the longest first."""
+        if kind not in _GROUPED:
+            return [found] if self._made(kind, found) is not None else []
+        seps = _GROUPED[kind]
+        ends = [i for i in range(len(found) - 1, 6, -1) if found[i] in seps and found[i - 1] not in seps]
+        return [x for x in (found, *(found[:i] for i in ends)) if (x is found or _AT[kind].fullmatch(x)) and self._made(kind, x) is not None]
+
+    def _other(self, text: str, at: int) -> bool:
+        """Whether a valid number of any kind starts at a place."""
+        return any((m := _AT[k].match(text, at)) and self._valid(k, m[0]) for k in ("ip", "date", "ssn", "phone")) or self._card_at(text, at)
+
+    def _card_at(self, text: str, at: int) -> bool:
+        m = _AT["card"].match(text, at)
+        return m is not None and any(_usual("card", x) for x in self._valid("card", m[0]))
+
+    def _pick(self, kind: str, text: str, m: re.Match) -> str | None:
+        """What of a match is the value: a usual length, else what ends before another number, else the longest valid part."""
+        valid = self._valid(kind, m[0])
+        if kind not in _GROUPED or not valid:
+            return valid[0] if valid else None
+        for x in valid:
+            if _usual(kind, x):
+                return x
+        if kind == "phone":
+            for x in valid:
+                end = m.start() + len(x)
+                if text[end : end + 1] == " " and self._other(text, end + 1):
+                    return x
+        if kind == "card" and any(text[i - 1] in " -" and self._card_at(text, i) for i in range(m.start() + 1, m.end())):
+            return None  # a card of a usual length starts later in it
+        return valid[0]
+
     def text(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
-        """The text with pseudonyms, and (kind, start, length) of each in it; what fails validation stays as it is."""
+        """The text with pseudonyms, and (kind, start, length) of each in it; what fails validation stays as it is.
+
+        A number plan is known for +1 alone: after other phones, digits of no known kind count as theirs, up to 15 in all.
+        """
         if not _MAYBE.search(text):
             return text, []
         out, spans, at, size, pos = [], [], 0, 0, 0
         while m := _LOOK.search(text, pos):
             kind = next(k for k in LOOKS if m[k] is not None)
-            was = (kind, m[0])
-            if was not in self.memo:
-                if len(self.memo) >= MEMO_ENTRIES:
-                    self.memo.clear()
-                self.memo[was] = _MAKE[kind](m[0], self.permuter)
-            new = self.memo[was]
-            if new is None:
+            found = self._pick(kind, text, m)
+            if found is None:  # another kind at the same place
+                kinds = list(LOOKS)
+                for kind in kinds[kinds.index(kind) + 1 :]:
+                    if (other := _AT[kind].match(text, m.start())) and (found := self._pick(kind, text, other)) is not None:
+                        break
+            if found is None:
                 pos = m.start() + 1
                 while pos < m.end() and text[pos - 1].isalnum() and text[pos].isalnum():  # on to the next part
                     pos += 1
                 continue
+            new = self._made(kind, found)
             out += [text[at : m.start()], new]
             size += m.start() - at
             spans.append((kind, size, len(new)))
             size += len(new)
-            at = pos = m.end()
+            at = pos = m.start() + len(found)
         return "".join([*out, text[at:]]), spans
 
 

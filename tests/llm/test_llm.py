@@ -98,6 +98,30 @@ def test_pseudonyms(docs, empty):
     assert pii.pseudonymised(empty, spans="found").count() == 0
 
 
+NUMBERS = {"us": "+1 (826) 555-4081", "de": "+49 30 1234567", "fr": "+33 1 23 45 67 89", "flat": "826-555-4081", "card": "4111 1111 1111 1111", "amex": "3782 822463 10005", "ip": "190.137.223.204", "date": "2024-05-06", "ssn": "123-45-6789", "iban": "DE89 3704 0044 0532 0130 00", "be": "BE68 5390 0754 7034"}
+
+
+@pytest.mark.parametrize("names", [("us", "ip"), ("us", "us"), ("us", "date"), ("us", "card"), ("us", "ssn"), ("de", "ip"), ("de", "date"), ("de", "card"), ("de", "ssn"), ("de", "flat"), ("fr", "ip"), ("flat", "ip"), ("flat", "card"), ("card", "ip"), ("card", "date"), ("card", "card"), ("card", "us"), ("amex", "ip"), ("amex", "date"), ("iban", "ip"), ("be", "card"), ("be", "date"), ("us", "ip", "card", "date", "ssn")])
+def test_pseudonyms_of_neighbours(names):
+    made = pii.Pseudonymiser()
+    alone = [made.text(NUMBERS[k])[0] for k in names]
+    assert all(a != NUMBERS[k] for a, k in zip(alone, names))
+    assert made.text("x " + " ".join(NUMBERS[k] for k in names) + " y")[0] == "x " + " ".join(alone) + " y"
+
+
+@pytest.mark.parametrize("after", [" 12/25", " 123", " 7", " 10.0.0.1", "-12"])
+@pytest.mark.parametrize("name", ["card", "amex", "us"])
+def test_pseudonyms_before_other_digits(name, after):
+    made = pii.Pseudonymiser()
+    assert made.text(NUMBERS[name] + after)[0].startswith(made.text(NUMBERS[name])[0] + after[:1])
+    assert made.text("12 " + NUMBERS[name])[0] == "12 " + made.text(NUMBERS[name])[0]
+
+
+def test_quoted_credentials():
+    raw = 'key = "' + "0123456789ABCDEFabcdef0123456789" + '"'
+    assert [k for k, _, _ in pii.Pseudonymiser().text(raw)[1]] == ["credential"]
+
+
 def test_main_text(spark):
     page = "<html><body><nav><ul><li><a href=x>Menu</a></li></ul></nav><div class='ad'>Buy it now.</div><article><h1>A  title</h1><p>First &amp; only<br>paragraph of this text, with words.</p><script>var t='</p>';</script></article><div class='comments'><p>Nice one!</p></div><footer>&copy; us</footer></body></html>"
     rows = spark.createDataFrame([(1, "u", page), (2, "u", None), (3, "u", ""), (4, "u", "<p"), (5, "u", "<p>Hello there, this is a < b text.")], "page_id bigint, url string, html string")
