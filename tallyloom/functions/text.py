@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 ARTICLES = ("a", "an", "the")
 
@@ -20,34 +20,46 @@ def _base_letters() -> tuple[str, str]:
 
 
 _MARKED, _PLAIN = _base_letters()
+#: Other letters of that range which stay as they are; what else isn't ASCII is decomposed in Python.
+_KEPT = "".join(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and unicodedata.normalize("NFKD", c) == c)
 
 
 def normalise(text: Column, strip_articles: bool = True) -> Column:
-    """Lower-case words without marks, punctuation or articles, a space between; null gives ''.
+    """Lower-case words of the full compatibility decomposition, without marks, punctuation or articles, a space between; null gives ''.
 
-    Latin letters lose their marks by a table that Catalyst evaluates; other compatibility forms are left to normalise_exact().
+    Texts of ASCII and Latin letters with at most marks are done by a table that Catalyst evaluates, others in Python, with equal results.
     """
     words = tokens(text, strip_articles)
     return F.array_join(words, " ")
 
 
 def tokens(text: Column, strip_articles: bool = True) -> Column:
-    plain = F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Mn}", ""), _MARKED, _PLAIN)
-    words = F.split(F.regexp_replace(F.lower(plain), r"[^\p{L}\p{N}_]+", " "), " ")
+    text = F.coalesce(text, F.lit(""))
+    plain = F.lower(F.translate(text, _MARKED, _PLAIN))
+    native = F.split(F.regexp_replace(plain, r"[^\p{L}\p{N}_]+", " "), " ")
+    rest = F.translate(text, _MARKED + _KEPT, _PLAIN)  # ASCII alone if the table covers all; faster than a pattern
+    words = F.coalesce(_exact_words(F.when(F.octet_length(rest) != F.length(rest), text)), native)
     gone = ("", *ARTICLES) if strip_articles else ("",)
     return F.filter(words, lambda w: ~w.isin(*gone))
 
 
-@F.pandas_udf(StringType())
-def normalise_exact(text: pd.Series) -> pd.Series:
-    """As normalise(), with the full compatibility decomposition."""
+def _words(t: str) -> list[str]:
     import re
 
-    def one(t: str | None) -> str:
-        plain = "".join(c for c in unicodedata.normalize("NFKD", t or "") if not unicodedata.combining(c)).lower()
-        return " ".join(w for w in re.sub(r"[^\w\s]", " ", plain).split() if w not in ARTICLES)
+    plain = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower()
+    return re.sub(r"[^\w\s]", " ", plain).split()
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _exact_words(text: pd.Series) -> pd.Series:
+    """The words of the full compatibility decomposition; null stays null."""
+    return pd.Series([None if t is None else _words(t) for t in text], dtype=object)
 
-    return text.map(one)
+
+@F.pandas_udf(StringType())
+def normalise_exact(text: pd.Series) -> pd.Series:
+    """As normalise(), all of it in Python."""
+    return text.map(lambda t: " ".join(w for w in _words(t or "") if w not in ARTICLES))
 
 
 def exact_match(a: Column, b: Column) -> Column:

@@ -131,3 +131,15 @@ def text_of(t):
 
     plain = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower()
     return " ".join("".join(c if c.isalnum() or c == "_" else " " for c in plain).split())
+
+
+def test_normalise_decomposes(spark):
+    texts = ["ﬁnal ﬀ", "ＦＵＬＬ　Ｗｉｄｔｈ", "x² ½ ①", "tiếng Việt", "tie\u0302\u0301ng Vie\u0323\u0302t", "Ω ǆ Ǆ ŉ ſ", "ΟΔΟΣ", "हिन्दी में", "İstanbul ß æ ø", "日本語ｶﾞ", "a\u00a0b\u2003c", "x…y", None]
+    texts += [f"x{chr(c)}y {chr(c)}" for c in (*range(0x20, 0x250), *range(0x1E00, 0x1F00), *range(0x2070, 0x2190), *range(0xFB00, 0xFB07))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.normalise(F.col("t")).alias("a"), text.normalise_exact(F.col("t")).alias("b"))
+    assert [r.t for r in rows.collect() if r.a != r.b] == []
+
+
+def test_two_forms_of_a_word_match(spark):
+    row = text.text_scores(spark.createDataFrame([("tiếng ﬁn", "tie\u0302\u0301ng fin")], "t string, o string"), "t", "o").first()
+    assert (row.score_exact_match, row.score_token_f1, row.score_char_similarity, row.score_wer) == (1.0, 1.0, 1.0, 0.0)
