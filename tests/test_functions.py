@@ -143,3 +143,20 @@ def test_normalise_decomposes(spark):
 def test_two_forms_of_a_word_match(spark):
     row = text.text_scores(spark.createDataFrame([("tiếng ﬁn", "tie\u0302\u0301ng fin")], "t string, o string"), "t", "o").first()
     assert (row.score_exact_match, row.score_token_f1, row.score_char_similarity, row.score_wer) == (1.0, 1.0, 1.0, 0.0)
+
+
+def test_wer_of_many_distinct_words(spark):
+    words = [f"w{i}" for i in range(36_000)]
+    rows = spark.createDataFrame([(" ".join(words), "w5 x w7 w7 w35999"), ("w1 w2", "w1 w3")], "t string, o string")
+    told = rows.withColumns({"r": text.tokens(F.col("t")), "h": text.tokens(F.col("o"))})
+    got = told.select(text.word_error_rate(F.col("r"), F.col("h")).alias("x")).collect()
+    assert [r.x for r in got] == [pytest.approx(35_997 / 36_000, abs=1e-9), 0.5]
+
+
+def test_word_edits_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    cases = [tuple([rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in range(2)) for _ in range(80)]
+    rows = spark.createDataFrame(cases, "a array<string>, b array<string>").select("a", "b", text._word_edits(F.col("a"), F.col("b")).alias("x"))
+    assert all(r.x == edits(r.a, r.b) for r in rows.collect())
