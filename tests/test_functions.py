@@ -160,3 +160,8 @@ def test_word_edits_equal_brute_force(spark):
     cases = [tuple([rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in range(2)) for _ in range(80)]
     rows = spark.createDataFrame(cases, "a array<string>, b array<string>").select("a", "b", text._word_edits(F.col("a"), F.col("b")).alias("x"))
     assert all(r.x == edits(r.a, r.b) for r in rows.collect())
+
+
+def test_games_of_full_length(spark):
+    games = catalogue.QUERIES["game_transcripts"](spark, "unused").collect()
+    assert len(games) == 20 and max(g.n_half_moves for g in games) > 40 and any("limit" not in g.result for g in games)
