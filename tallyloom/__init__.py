@@ -1 +1,6 @@
 """Analytics for model-evaluation datasets on Spark."""
+
+from .errors import TallyloomError
+
+__version__ = "0.2.0"
+__all__ = ["TallyloomError", "__version__"]
