@@ -36,16 +36,16 @@ def pieces_of(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", to
         from pyspark import TaskContext
 
         item = TaskContext.get().partitionId() << 40
-        encoder, end = Encoder.of(file), np.uint32(end_id).tobytes()
+        encoder, end = Encoder.of(file), np.array([end_id], "<u4")
         for batch in batches:
             out: list[tuple] = []
             for name, ids in zip(batch.column(0).to_pylist(), encoder.encode(t.as_py() for t in batch.column(1))):
-                ids += end
-                n = len(ids) // 4
+                ids = np.append(ids, end)
+                n = len(ids)
                 first = n % capacity or capacity
                 edges = [0, *range(first, n + 1, capacity)] if n > capacity else [0, n]
                 for k, (a, b) in enumerate(zip(edges, edges[1:])):
-                    out.append((name, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), item))
+                    out.append((name, k, a, b - a, zlib.crc32(ids[a:b]), item))
                     item += 1
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             cols = list(zip(*out)) or [[]] * 6

@@ -5,7 +5,7 @@ packs and how wide each is. Selector 0 is the escape: its payload is an index in
 raw 64-bit values, for values that need more than 60 bits. The file format is a Parquet table with a row
 for each block of whole documents in ascending doc_id order:
 
-shard, block: place of the block; doc_ids: its documents; doc_ends: per document the ids of the block up
+shard, block: place of the block; before: ids of its shard before it; doc_ids: its documents; doc_ends: per document the ids of the block up
 to its end; n_ids; words: the packed words, little-endian; raw: escaped values; part_words: for each
 PART_WORDS words, the ids before them, so a reader may start in the middle of a block.
 
@@ -29,6 +29,8 @@ from .tokens import Encoder, tokenizer_path
 #: (ids in a word, bits of each) by selector; fixed values of the coding, but for the escape at 0.
 SLOTS = [(1, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 _COUNT = np.array([c for c, _ in SLOTS], dtype=np.int64)
+#: The bits of each value below 2 ** 16.
+_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 PART_WORDS = 4096
 #: Ids after which a block is closed; a longer document makes a longer block.
 BLOCK_IDS = 1 << 17
@@ -42,19 +44,25 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
     # Bits of each id, and the most of any window from each place on, by doubling; zeros follow the last id.
     bits = np.zeros(n + 240, np.uint8)
-    bits[:n] = np.frexp(ids.astype(np.float64))[1]
-    bits[:n][ids >= np.uint64(1) << np.uint64(60)] = 64
-    widest = {1: bits}
-    for count in sorted({c for c, _ in SLOTS} - {1}):
-        half = max(k for k in widest if k < count)
-        other = max(k for k in widest if k <= count - half) if count - half in widest else half
-        most = widest[half]
-        widest[count] = np.maximum(most[: len(most) - (count - other)], widest[other][count - other : count - other + len(most) - (count - other)])
+    if ids.max() <= 0xFFFF:
+        bits[:n] = _BITS[ids.astype(np.uint16)]
+    else:
+        bits[:n] = np.frexp(ids.astype(np.float64))[1]
+        bits[:n][ids >= np.uint64(1) << np.uint64(60)] = 64
     pick = np.full(n, 15, dtype=np.int8)
     pick[bits[:n] > 60] = 0
+    widest = {1: bits}
     for k in range(14, 0, -1):  # the selector with most ids that fits from each place on
         count, width = SLOTS[k]
-        pick[widest[count][:n] <= width] = k
+        if count not in widest:
+            half = max(c for c in widest if c < count)
+            other = count - half if count - half in widest else half
+            most = widest[half]
+            widest[count] = np.maximum(most[: len(most) - (count - other)], widest[other][count - other : count - other + len(most) - (count - other)])
+        fits = widest[count][:n] <= width
+        if not fits.any():  # nor do more ids fit into narrower slots
+            break
+        np.copyto(pick, k, where=fits)
     step = _COUNT[pick].tolist()
     at, starts = 0, []
     while at < n:
@@ -99,10 +107,10 @@ def unpack(words: np.ndarray, raw: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
-_FORMAT = "shard int, block int, doc_ids array<bigint>, doc_ends array<bigint>, n_ids bigint, words binary, raw binary, part_words array<bigint>"
+_FORMAT = "shard int, block int, before bigint, doc_ids array<bigint>, doc_ends array<bigint>, n_ids bigint, words binary, raw binary, part_words array<bigint>"
 
 
-def write_ids(docs: DataFrame, path: str, *, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, end_id: int = 0, shards: int | None = None) -> None:
+def write_ids(docs: DataFrame, path: str, *, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, end_id: int = 0, shards: int | None = None, block_ids: int = BLOCK_IDS) -> None:
     """Encode docs and write the format above to path, as path/blocks and path/shards (ids of each shard and before it).
 
     Nulls: a null text is empty and holds the end id alone; a null doc_id sorts first. Repeated doc_ids keep
@@ -117,19 +125,19 @@ def write_ids(docs: DataFrame, path: str, *, text: str = "text", doc_id: str = "
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, block = TaskContext.get().partitionId(), 0
+        shard, block, done = TaskContext.get().partitionId(), 0, 0
         names: list[int | None] = []
-        kept: list[bytes] = []
+        kept: list[np.ndarray] = []
         size = 0
-        encoder, end = Encoder.of(file), np.uint32(end_id).tobytes()
+        encoder, end = Encoder.of(file), np.array([end_id], "<u4")
 
         def closed() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(kept), "<u4").astype(np.uint64)
+            ids = np.concatenate(kept).astype(np.uint64)
             words, raw = pack(ids)
             before = np.concatenate([[0], np.cumsum(_COUNT[(words >> np.uint64(60)).astype(np.int64)])])[:-1:PART_WORDS]
-            ends = np.cumsum([len(x) // 4 for x in kept])
+            ends = np.cumsum([len(x) for x in kept]).reshape(-1, 2)[:, 1]
             return pa.RecordBatch.from_pydict({
-                "shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "doc_ids": pa.array([names], pa.list_(pa.int64())),
+                "shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "before": pa.array([done], pa.int64()), "doc_ids": pa.array([names], pa.list_(pa.int64())),
                 "doc_ends": pa.array([ends.tolist()], pa.list_(pa.int64())), "n_ids": pa.array([len(ids)], pa.int64()), "words": [words.astype("<u8").tobytes()],
                 "raw": [raw.astype("<u8").tobytes()], "part_words": pa.array([before.tolist()], pa.list_(pa.int64())),
             })
@@ -138,11 +146,11 @@ def write_ids(docs: DataFrame, path: str, *, text: str = "text", doc_id: str = "
             ids_of = encoder.encode(t.as_py() for t in batch.column(1))
             for name, ids in zip(batch.column(0).to_pylist(), ids_of):
                 names.append(name)
-                kept.append(ids + end)
-                size += len(ids) // 4 + 1
-                if size >= BLOCK_IDS:
+                kept += (ids, end)
+                size += len(ids) + 1
+                if size >= block_ids:
                     yield closed()
-                    names, kept, size, block = [], [], 0, block + 1
+                    names, kept, size, block, done = [], [], 0, block + 1, done + size
         if names:
             yield closed()
 
@@ -160,12 +168,8 @@ def read_ids(spark, path: str, *, with_ids: bool = False) -> DataFrame:
     """Decode what write_ids() wrote: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (array<bigint>)."""
     blocks = spark.read.schema(_FORMAT).parquet(f"{path}/blocks")
     shards = spark.read.schema("shard int, n_ids bigint, ids_before bigint").parquet(f"{path}/shards")
-    sizes = blocks.select("shard", "block", "n_ids")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("in_shard", F.coalesce(F.sum("n_ids").over(order), F.lit(0))).join(shards.select("shard", "ids_before"), "shard").select("shard", "block", (F.col("ids_before") + F.col("in_shard")).alias("before"))
-    placed = blocks.join(starts, ["shard", "block"]).select("before", "doc_ids", "doc_ends", "n_ids", "words", "raw")
+    # A row for each task of the write, so it may be sent; blocks stay where they are.
+    placed = blocks.join(F.broadcast(shards.select("shard", "ids_before")), "shard").select((F.col("ids_before") + F.col("before")).alias("before"), "doc_ids", "doc_ends", "n_ids", "words", "raw")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,9 +1,10 @@
 """Encoding texts to token ids with a public tokenizer, in workers.
 
 A byte-level BPE encodes each pre-token alone, and a pre-token never reaches past the space before a
-word. So a text is cut before every single space that stands between two visible ASCII characters,
-each distinct chunk is encoded once by the tokenizers library, and the ids are joined from a table.
-Texts that hold a special token's string are encoded whole.
+word. So texts are cut before every single space that stands between two visible characters; the distinct
+chunks of some megabytes of text are found at once, each is encoded once by the tokenizers library, and the
+texts' ids are gathered from a table. Texts that hold a special token's string, or other white space, are
+encoded whole.
 """
 
 from __future__ import annotations
@@ -13,13 +14,18 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+
 #: White space other than single spaces and line ends.
 _ODD = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _DOUBLE = ("  ", " \n", "\n ", "\n\n")
-#: Entries in a worker's table of chunks; a full table is emptied, results do not change.
-MEMO_ENTRIES = 1_000_000
+#: Entries in a worker's table of chunks; a full table is set aside and begun anew, results do not change.
+MEMO_ENTRIES = 400_000
 #: Longer chunks are rare words or unspaced text and are not remembered.
-MEMO_CHARS = 40
+MEMO_BYTES = 40
+#: Text that is cut and gathered at once.
+CUT_BYTES = 3 << 20
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -28,36 +34,52 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _byte_letters() -> dict[int, int]:
+def _byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies: itself, or else the next free code point from 256."""
     shown = [b for b in range(256) if chr(b).isprintable() and b not in (32, 160, 173)]
     rest = (b for b in range(256) if b not in shown)
-    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(rest)}
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class _Memo(dict):
-    """Word -> ids of the word after lead; what is missing is put together from its parts, or encoded.
+    """Chunk (its bytes) -> its ids; what is missing is put together from its parts, or encoded.
 
-    A word that starts with a line end stands for that line end and the word after it.
+    A chunk is a word with the space before it, or a text's first word. After a line end it starts with " \\n", which
+    stands for the line end alone: the space is put there to cut at.
     """
 
-    def __init__(self, lead: str, make, bare: _Memo | None = None):
-        self.lead, self.make, self.bare = lead, make, self if bare is None else bare
-
-    def __missing__(self, word: str) -> bytes:
-        if word[:1] == "\n" and len(word) > 1:
-            ids = self.bare["\n"] + self.bare[word[1:]]
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.older = encoder, {}
+
+    def aged(self) -> None:
+        """Keep what is here aside and begin anew; what is asked for again comes back, the rest goes at the next time."""
+        self.older = dict(self)
+        self.clear()
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is not None:
+            self[chunk] = ids
+            return ids
+        lead = chunk[:1] if chunk[:1] == b" " else b""
+        word = chunk[len(lead) :].decode()
+        if word.isalpha():  # one pre-token: its merges alone
+            letters = self.encoder.letters
+            shown = word if word.isascii() else "".join(map(letters.__getitem__, chunk[len(lead) :]))
+            ids = array("I", [t.id for t in self.encoder.merged(letters[32] + shown if lead else shown)]).tobytes()
+        elif word[:1] == "\n" and len(word) > 1:
+            ids = self[b" \n"] + self[chunk[2:]]
         elif word[-1:] in (",", ".") and word[-2:-1].isalpha():
-            ids = self[word[:-1]] + self.bare[word[-1]]
+            ids = self[chunk[:-1]] + self[chunk[-1:]]
         else:
-            ids = self.make(self.lead + word if word != "\n" else word)
-        if len(word) <= MEMO_CHARS:
-            self[word] = ids
+            ids = self.encoder.whole(chunk.decode() if word != "\n" else word)
+        if len(chunk) <= MEMO_BYTES:
+            self[chunk] = ids
         return ids
 
 
 class Encoder:
-    """ids(text) as little-endian uint32 bytes; one per worker process and file."""
+    """Ids of texts as little-endian uint32; one per worker process and file."""
 
     _made: dict[str, Encoder] = {}
 
@@ -70,8 +92,8 @@ class Encoder:
         self.chunked = kind == "ByteLevel" and self.tok.normalizer is None
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
-        self.bare = _Memo("", self._raw)
-        self.memo = _Memo(" ", self._raw, self.bare)
+        self.merged = self.tok.model.tokenize
+        self.memo = _Memo(self)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -79,28 +101,54 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _raw(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.chunked and (text[1:] if text[0] == " " else text).isalpha():  # one pre-token: its merges alone
-            tokens = self.tok.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
-            return array("I", [t.id for t in tokens]).tobytes()
-        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """The ids of each text; null counts as empty."""
-        memo, bare = self.memo, self.bare
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
+
+    def _plain(self, text: str) -> bool:
+        return self.chunked and not (_ODD.search(text) or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _DOUBLE) or any(s in text for s in self.special))
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text; null counts as empty. Works through some megabytes of text at a time."""
+        held: list[bytes | np.ndarray] = []  # a text to cut, or ids
+        size = 0
         for text in texts:
-            if not text:
-                yield b""
-            elif not self.chunked or _ODD.search(text) or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _DOUBLE) or any(s in text for s in self.special):
-                yield self._raw_whole(text)
+            if text and self._plain(text):
+                held.append(text.replace("\n", " \n").encode())
+                size += len(held[-1])
+            else:
+                held.append(np.frombuffer(self.whole(text or ""), "<u4"))
+                size += 4 * len(held[-1])
+            if size >= CUT_BYTES:
+                yield from self._gathered(held)
+                held, size = [], 0
+        yield from self._gathered(held)
+
+    def _gathered(self, held: list[bytes | np.ndarray]) -> Iterator[np.ndarray]:
+        cut = [x for x in held if isinstance(x, bytes)]
+        if not cut:
+            yield from held
+            return
+        data = b"".join(cut)
+        begins = np.cumsum([0, *map(len, cut)])
+        at = np.frombuffer(data, np.uint8) == 32
+        at[begins[:-1]] = True
+        edges = np.append(np.flatnonzero(at), len(data)).astype(np.int64)
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        if len(self.memo) > MEMO_ENTRIES:
+            self.memo.aged()
+        ids_of = list(map(self.memo.__getitem__, chunks.dictionary.to_pylist()))
+        flat, length = np.frombuffer(b"".join(ids_of), "<u4"), np.fromiter(map(len, ids_of), np.int64, len(ids_of)) // 4
+        which = chunks.indices.to_numpy()
+        many = length[which]
+        upto = np.cumsum(many)
+        place = np.repeat((np.cumsum(length) - length)[which] - upto + many, many)
+        place += np.arange(upto[-1])
+        ids = flat[place]
+        ends = upto[np.searchsorted(edges, begins[1:]) - 1].tolist()
+        start, k = 0, 0
+        for x in held:
+            if isinstance(x, bytes):
+                yield ids[start : ends[k]]
+                start, k = ends[k], k + 1
             else:
-                if len(memo) > MEMO_ENTRIES:
-                    memo.clear()
-                    bare.clear()
-                parts = text.replace("\n", " \n").split(" ")
-                yield bare[parts[0]] + b"".join(map(memo.__getitem__, parts[1:]))
-
-    def _raw_whole(self, text: str) -> bytes:
-        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+                yield x
