@@ -100,6 +100,7 @@ def codec_name(encoder: Column) -> Column:
     return F.coalesce(F.try_element_at(names, encoder), encoder)
 
 
+#: Fixed pattern of a template's field.
 PLACEHOLDER = r"(?<!\{)\{([a-zA-Z_][a-zA-Z_0-9]*)\}(?!\})"
 
 
@@ -108,12 +109,17 @@ def placeholders(template: Column) -> Column:
 
 
 def render(template: Column, fields: dict[str, Column]) -> Column:
-    """Fill a template; fields that it lacks, or that are missing, raise when it is evaluated. Doubled braces are literal."""
-    out = F.replace(F.replace(template, F.lit("{{"), F.lit("\x01")), F.lit("}}"), F.lit("\x02"))
-    for k, v in fields.items():
-        out = F.replace(out, F.lit("{" + k + "}"), v)
-    out = F.replace(F.replace(out, F.lit("\x01"), F.lit("{")), F.lit("\x02"), F.lit("}"))
+    """Fill a template; fields that it lacks, or that are missing, raise when it is evaluated. Doubled braces are literal.
+
+    The template is cut at its fields once: what a field holds is not looked into.
+    """
+    between = F.split(template, PLACEHOLDER, -1)
+    names = F.regexp_extract_all(template, F.lit(PLACEHOLDER), F.lit(1))
+    values = F.create_map(*[x for k, v in sorted(fields.items()) for x in (F.lit(k), v.cast("string"))]) if fields else F.create_map().cast("map<string,string>")
+    text = lambda t: F.replace(F.replace(t, F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}"))
+    parts = F.transform(between, lambda t, i: F.concat(F.when(i == 0, F.lit("")).otherwise(F.try_element_at(values, F.get(names, i - 1))), text(t)))
     wanted = F.array(*[F.lit(k) for k in sorted(fields)]) if fields else F.array().cast("array<string>")
+    out = F.aggregate(parts, F.lit(""), lambda a, x: F.concat(a, x))
     return F.when(placeholders(template) == wanted, out).otherwise(F.raise_error(F.lit("the prompt's fields are others")))
 
 

@@ -33,6 +33,22 @@ def square(at: int) -> str:
     return "abcdefgh"[at % 8] + "87654321"[at // 8]
 
 
+def place(name: str) -> int:
+    """The square of a name such as e4."""
+    if len(name) != 2 or name[0] not in "abcdefgh" or name[1] not in "12345678":
+        raise ValueError(f"{name!r} is no square")
+    return 8 * "87654321".index(name[1]) + "abcdefgh".index(name[0])
+
+
+def drawn(board: str) -> str:
+    """A position in lines of text, with the files above and below and the ranks at both sides; empty light squares are dots."""
+    files = "    " + "  ".join("abcdefgh")
+    cells = lambda r: "│".join(f"{p if p != '.' else '. '[(r + c) % 2]} " for c, p in enumerate(board[8 * r : 8 * r + 8]))
+    rows = [f"{8 - r} ║{cells(r)}║ {8 - r}" for r in range(8)]
+    between = "\n  ╠" + "══╪" * 7 + "══╣\n"
+    return "\n".join([files, "  ╔" + "══╤" * 7 + "══╗", between.join(rows), "  ╚" + "══╧" * 7 + "══╝", files])
+
+
 @dataclass(frozen=True)
 class Position:
     board: str = START
@@ -164,6 +180,18 @@ def perft(depth: int, position: Position = Position()) -> int:
     return len(moves) if depth == 1 else sum(perft(depth - 1, position.after(m)) for m in moves)
 
 
+def perft_counts(spark: SparkSession, depth: int) -> DataFrame:
+    """How many positions each depth up to depth reaches: of every first move the positions after it, counted in tasks of their own."""
+
+    def count(batches):
+        for batch in batches:
+            yield batch.assign(nodes=[perft(int(d) - 1, Position().after(Position().legal()[int(m)])) if d > 1 else 1 for d, m in zip(batch["depth"], batch["move"])])
+
+    jobs = spark.range(depth).selectExpr("cast(id + 1 as int) as depth").crossJoin(spark.range(len(Position().legal())).selectExpr("cast(id as int) as move"))  # twenty first moves
+    dealt = jobs.repartition(2 * spark.sparkContext.defaultParallelism)
+    return dealt.mapInPandas(count, "depth int, move int, nodes bigint").groupBy("depth").agg(F.sum("nodes").cast("int").alias("nodes"))
+
+
 PLY = "ply int, move_no int, color string, src string, dst string, piece string, notation string, is_capture boolean, is_check boolean, board_after string, result string"
 
 
@@ -200,20 +228,50 @@ def games(spark: SparkSession, n: int, *, seed: int = 0, limit: int = 200) -> Da
     return spark.sql(f"select g.game_index, g.seed, p.* from tallyloom_games g, lateral tallyloom_game(g.seed, {int(limit)}) p")
 
 
-def long_enough(seed: int, index: int, wanted: int, limit: int, attempts: int = 12) -> list[tuple]:
-    """The first of the attempts with wanted plies, else the longest; attempt k is played from seed + index + k * 1_000_003."""
-    best: list[tuple] = []
+def long_enough(seed: int, index: int, wanted: int, limit: int, attempts: int = 12) -> tuple[int, list[tuple]]:
+    """The first of the attempts with wanted plies, else the longest, and its seed; attempt k is played from seed + index + k * 1_000_003."""
+    best: tuple[int, list[tuple]] = (seed + index, [])
     for k in range(attempts):
-        game = plies(seed + index + k * 1_000_003, limit)
-        if len(game) > len(best):
-            best = game
-        if len(best) >= wanted:
+        used = seed + index + k * 1_000_003
+        game = plies(used, limit)
+        if len(game) > len(best[1]):
+            best = used, game
+        if len(game) >= wanted:
             break
     return best
 
 
+def long_games(spark: SparkSession, n: int, *, seed: int = 0, wanted: int, limit: int = 400, attempts: int = 12) -> DataFrame:
+    """A row for each ply of n games with game_index and the seed that was played: of its attempts, the first game with wanted plies, else the longest."""
+
+    @F.udtf(returnType=f"seed int, {PLY}")
+    class LongGame:
+        def eval(self, seed: int, index: int, wanted: int, limit: int, attempts: int):
+            used, game = long_enough(seed, index, wanted, limit, attempts)
+            yield from ((used, *p) for p in game)
+
+    spark.udtf.register("tallyloom_long_game", LongGame)
+    spark.range(0, n, 1, n).select(F.col("id").cast("int").alias("game_index")).createOrReplaceTempView("tallyloom_long_games")
+    return spark.sql(f"select g.game_index, p.* from tallyloom_long_games g, lateral tallyloom_long_game({int(seed)}, g.game_index, {int(wanted)}, {int(limit)}, {int(attempts)}) p")
+
+
 def transcripts(plies_: DataFrame) -> DataFrame:
     """Per game its compact moves in one line, in order; a game is bounded by its limit."""
     cell = F.concat_ws(" ", F.col("move_no").cast("string"), "color", "src", "dst")
     rows = plies_.groupBy("game_index").agg(F.sort_array(F.collect_list(F.struct("ply", cell.alias("cell")))).alias("x"), F.max("result").alias("result"))
     return rows.select("game_index", F.array_join(F.transform("x", lambda x: x["cell"]), "; ").alias("compact"), F.size("x").alias("n_half_moves"), "result")
+
+
+def transcript_texts(shown: DataFrame, clips: DataFrame) -> DataFrame:
+    """Per clip its compact line, its transcript in columns of fixed width, and its moves and boards in order.
+
+    shown: sample_id and the plies of its clip; clips: sample_id, game_index, game_result, n_half_moves. A clip is bounded by its plan.
+    """
+    compact = F.concat_ws(" ", F.col("move_no").cast("string"), "color", "src", "dst")
+    line = F.concat_ws("  ", F.rpad(F.col("move_no").cast("string"), 6, " "), F.rpad("color", 8, " "), F.rpad("src", 8, " "), "dst")
+    rows = shown.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("ply", compact.alias("compact"), line.alias("line"), "src", "dst", "move_no", "board_after"))).alias("x"))
+    both = rows.join(clips, "sample_id")
+    of = lambda name: F.transform("x", lambda x: x[name])
+    head = F.concat(F.lit("Game #"), F.col("game_index").cast("string"), F.lit(" — Move Transcription\n" + "=" * 46 + "\n\nMove    Turn      Source    Destination\n----    ----      ------    -----------\n"))
+    tail = F.concat(F.lit("\n\nResult: "), "game_result", F.lit("\nTotal half-moves: "), F.col("n_half_moves").cast("string"), F.lit("\n"))
+    return both.select("sample_id", F.array_join(of("compact"), "; ").alias("compact"), F.concat(head, F.array_join(of("line"), "\n"), tail).alias("transcript"), of("src").alias("_src"), of("dst").alias("_dst"), of("move_no").alias("_no"), of("board_after").alias("_boards"))

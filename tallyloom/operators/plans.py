@@ -59,13 +59,25 @@ def reduced(segments: DataFrame, key: str) -> DataFrame:
     return per.select(key, "n_frames", "divisor", "piped", F.bround(1 - F.coalesce(F.try_divide("piped", "n_frames"), F.lit(1.0)), 6).alias("savings"))
 
 
-def clip_timeline(plies: DataFrame, game: str, ply: str, *, n_moves: int, per_move: int, intro: int, outro: int) -> DataFrame:
-    """The segments of each game's first n_moves: an intro, a segment for each move, and the outro in the last."""
+def clip_timeline(plies: DataFrame, game: str, ply: str, *, n_moves: int, per_move: int, intro: int, outro: int, slides: int | None = None) -> DataFrame:
+    """The segments of each game's first n_moves: an intro, a segment for each move, and the outro in the last.
+
+    With slides, each move is so many frames of one on their way before the position that is held; place orders all of them.
+    """
     ranked = plies.withColumn("seg", F.row_number().over(Window.partitionBy(game).orderBy(ply))).where(F.col("seg") <= n_moves)
     last = F.max("seg").over(Window.partitionBy(game))
     moves = ranked.withColumn("hold", per_move + F.when(F.col("seg") == last, outro).otherwise(0))
     start = ranked.where("seg = 1").select(game, F.lit(0).alias("seg"), F.lit(intro).alias("hold"))
-    return moves.select(game, "seg", "hold").unionByName(start)
+    out = moves.select(game, "seg", "hold").unionByName(start)
+    if slides is None:
+        return out
+    step = F.struct(F.lit(1).alias("hold"))
+    each = F.when(F.col("seg") == 0, F.array(F.struct("hold"))).otherwise(F.concat(F.array_repeat(step, slides), F.array(F.struct("hold"))))
+    return out.select(game, "seg", F.posexplode(each).alias("k", "f")).select(game, (F.col("seg") * 100 + F.col("k")).alias("place"), "f.hold") if slides < 100 else _too_many(slides)
+
+
+def _too_many(slides: int) -> DataFrame:
+    raise ValueError(f"{slides} frames of a move, 99 at most")
 
 
 def before(plies: DataFrame, game: str, ply: str | list[str], state: str, first: str) -> DataFrame:

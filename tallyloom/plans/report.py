@@ -3,22 +3,48 @@
 from __future__ import annotations
 
 import html
-import json
+import os
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import items
 from ..operators import evaluate
 
-HIDDEN = ("sample_id", "experiment", "condition", "media_path", "media_filename", "ground_truth", "ground_truth_path", "model_output")
+#: Columns that a sample's card doesn't list.
+HIDDEN = ("media_path", "media_filename", "ground_truth_path", "pov_version", "generated_at", "config_hash", "ground_truth", "model_output")
+#: What a browser shows as a video and as an image.
+VIDEOS, IMAGES = ("mp4", "webm", "mov", "m4v"), ("jpg", "jpeg", "png", "gif", "webp")
+
+
+def short(column: str) -> str:
+    return column.removeprefix("score_")
 
 
 def details(rows: DataFrame) -> DataFrame:
     """sample_id and, as JSON, what a sample's card lists: its other columns that aren't blank."""
-    shown = sorted(c for c in rows.columns if c not in HIDDEN and not c.startswith(("cfg_", "score_")))
+    shown = sorted(c for c in rows.columns if c not in (*HIDDEN, "sample_id", "experiment", "condition") and not c.startswith(("cfg_", "score_")))
+    return rows.select("sample_id", F.to_json(_listed(shown)).alias("details"))
+
+
+def _listed(shown: list[str]) -> Column:
+    if not shown:
+        return F.create_map().cast("map<string,string>")
     pairs = F.map_from_arrays(F.array(*map(F.lit, shown)), F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in shown]))
-    return rows.select("sample_id", F.to_json(F.map_filter(pairs, lambda _, v: F.trim(v) != "")).alias("details"))
+    return F.map_filter(pairs, lambda _, v: F.trim(v) != "")
+
+
+def media_kind(path: Column) -> Column:
+    """video, image, or nothing, by a path's extension."""
+    end = F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
+    return F.when(end.isin(*VIDEOS), "video").when(end.isin(*IMAGES), "image").otherwise("")
+
+
+def media_link(path: Column, run_dir: str, page_dir: str) -> Column:
+    """A run's media path as a page in page_dir links to it; blank where there is none."""
+    way = os.path.relpath(run_dir, page_dir).replace(os.sep, "/")
+    return F.when(F.trim(F.coalesce(path, F.lit(""))) == "", "").otherwise(F.concat(F.lit("" if way == "." else f"{way}/"), F.trim(path)))
 
 
 def search(rows: DataFrame, text: str, condition: str | None, metric: str) -> DataFrame:
@@ -28,24 +54,92 @@ def search(rows: DataFrame, text: str, condition: str | None, metric: str) -> Da
     return out.orderBy(F.col(metric).asc_nulls_first(), "sample_id")
 
 
-def build(rows: DataFrame, *, title: str = "Report", max_samples: int = 500) -> str:
-    """The page: counts over all rows, the summary with bars, and the first max_samples rows as data."""
-    metrics = evaluate.metrics_of(rows)
-    groups = evaluate.default_groups(rows, run=False)
+def samples(rows: DataFrame, metrics: list[str], run_dir: str = ".", page_dir: str = ".") -> DataFrame:
+    """What the page holds of each row: names, link and kind of its media, truth, output, scores and details."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("")
+    path = text("media_path")
+    other = [c for c in rows.columns if c not in HIDDEN and not c.startswith(("cfg_", "score_"))]
+    scores = F.map_from_arrays(F.array(*[F.lit(short(m)) for m in metrics]), F.array(*[evaluate.number(F.col(m)) for m in metrics])) if metrics else F.create_map().cast("map<string,double>")
+    return rows.select(
+        text("sample_id").alias("id"), text("experiment").alias("experiment"), text("condition").alias("condition"), text("model").alias("model"), media_link(path, run_dir, page_dir).alias("mediaSrc"), media_kind(path).alias("mediaKind"),
+        text("ground_truth").alias("groundTruth"), text("model_output").alias("modelOutput"), F.map_filter(scores, lambda _, v: v.isNotNull()).alias("scores"), _listed(other).alias("details"),
+    )
+
+
+_STYLE = """body{font:15px/1.5 sans-serif;margin:2rem auto;max-width:70rem;padding:0 1rem}.cards span{display:inline-block;border:1px solid #ccc;border-radius:.5rem;padding:.4rem .8rem;margin:0 .5rem .5rem 0}
+table{border-collapse:collapse}th,td{padding:.3rem .7rem;border-bottom:1px solid #ddd;text-align:left}td.n{text-align:right}details{border:1px solid #ccc;border-radius:.5rem;margin:.5rem 0;padding:.4rem .8rem}video,img{max-width:100%;max-height:24rem}pre{white-space:pre-wrap;background:#f4f4f4;padding:.5rem}"""
+# The page's list: by condition, by words in id, truth and output, and by a metric with the worst and the unscored first.
+_SCRIPT = """
+const all = JSON.parse(document.getElementById('data').textContent), list = document.getElementById('list');
+const pick = id => document.getElementById(id);
+for (const c of [...new Set(all.map(s => s.condition))].sort()) pick('condition').add(new Option(c));
+for (const m of [...new Set(all.flatMap(s => Object.keys(s.scores)))]) pick('metric').add(new Option(m));
+const box = (parent, tag, text) => { const e = parent.appendChild(document.createElement(tag)); if (text !== undefined) e.textContent = text; return e; };
+function show() {
+  const text = pick('text').value.toLowerCase(), c = pick('condition').value, m = pick('metric').value, score = s => m in s.scores ? s.scores[m] : -Infinity;
+  const found = all.filter(s => (!c || s.condition === c) && [s.id, s.groundTruth, s.modelOutput].join(' ').toLowerCase().includes(text));
+  if (m) found.sort((a, b) => score(a) - score(b));
+  list.replaceChildren();
+  pick('count').textContent = `${found.length} of ${all.length}`;
+  for (const s of found) {
+    const card = box(list, 'details');
+    box(card, 'summary', [s.id, s.condition, ...Object.entries(s.scores).map(([k, v]) => `${k} ${v.toFixed(3)}`)].join(' · '));
+    card.addEventListener('toggle', () => {
+      if (!card.open || card.dataset.made) return;
+      card.dataset.made = 1;
+      if (s.mediaKind) { const e = box(card, s.mediaKind === 'video' ? 'video' : 'img'); e.src = s.mediaSrc; e.controls = true; }
+      for (const [name, value] of [['ground truth', s.groundTruth], ['model output', s.modelOutput], ...Object.entries(s.details)]) { box(card, 'b', name); box(card, 'pre', value); }
+    });
+  }
+}
+for (const id of ['text', 'condition', 'metric']) pick(id).addEventListener('input', show);
+show();
+"""
+
+
+def build(rows: DataFrame, *, title: str = "Report", max_samples: int | None = None, metrics: list[str] | None = None, groups: list[str] | None = None, run_dir: str = ".", page_dir: str = ".") -> str:
+    """The page: counts over all rows, the summary with bars, and the rows as data, or the first max_samples of them by id.
+
+    For as many rows as a page can hold; the counts and the summary are made by Spark.
+    """
+    metrics = evaluate.metrics_of(rows) if metrics is None else metrics
+    groups = evaluate.default_groups(rows, run=False) if groups is None else groups
     summary = evaluate.bars(evaluate.summarise(rows, groups, metrics), metrics).orderBy(*groups).collect()  # a row per group
-    shown = rows.orderBy("sample_id").limit(max_samples).select(items.script_safe(F.to_json(F.struct(*rows.columns))).alias("j")).collect()
-    cell = lambda v: html.escape("" if v is None else str(v))
-    head = "".join(f"<th>{cell(c.removeprefix('score_'))}</th>" for c in [*groups, "n", *metrics])
-    body = "".join("<tr>" + "".join(f"<td>{cell(r[c])}</td>" for c in [*groups, "n"]) + "".join(f'<td><meter max=100 value="{r[m + "_bar"]}"></meter> {cell(r[m])}</td>' for m in metrics) + "</tr>" for r in summary)
-    data = "[" + ",".join(r.j for r in shown) + "]"
-    return f"<!DOCTYPE html><meta charset=utf-8><title>{cell(title)}</title><h1>{cell(title)}</h1><p>{rows.count()} rows</p><table><tr>{head}</tr>{body}</table><script id=data type=application/json>{data}</script>"
+    ordered = rows.orderBy("sample_id")
+    held = samples(ordered.limit(max_samples) if max_samples is not None else ordered, metrics, run_dir, page_dir)
+    data = [r.j for r in held.select(items.script_safe(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).alias("j")).toLocalIterator()]
+    cell = lambda v: html.escape("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v))
+    told = evaluate.experiments_of(rows).first() if {"experiment", "condition"} <= set(rows.columns) else None
+    linked = sum('"mediaSrc":""' not in j for j in data)
+    cards = [("samples", rows.count()), *([("experiments", ", ".join(told.experiments) or "—"), ("conditions", told.conditions)] if told else []), ("media linked", linked)]
+    head = "".join(f"<th>{cell(short(c))}</th>" for c in [*groups, "n", *metrics])
+    body = "".join("<tr>" + "".join(f"<td>{cell(r[c])}</td>" for c in [*groups, "n"]) + "".join(f'<td class=n><meter max=100 value="{r[m + "_bar"]}"></meter> {cell(r[m]) or "—"}</td>' for m in metrics) + "</tr>" for r in summary)
+    table = f"<table><tr>{head}</tr>{body}</table>" if summary else "<p>No summary rows.</p>"
+    shown = "".join(f"<span><b>{cell(v)}</b> {k}</span>" for k, v in cards)
+    tools = "<p><input id=text placeholder=search> <select id=condition><option value=''>all conditions</option></select> <select id=metric><option value=''>by id</option></select> <span id=count></span></p>"
+    return f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{cell(title)}</title><style>{_STYLE}</style></head><body><h1>{cell(title)}</h1><p class=cards>{shown}</p>{table}{tools}<div id=list></div><script id=data type=application/json>[{','.join(data)}]</script><script>{_SCRIPT}</script></body></html>"
 
 
-def text_table(summary: DataFrame) -> str:
-    rows = [[str(v) if v is not None else "" for v in r] for r in summary.collect()]
-    wide = [max(map(len, col)) for col in zip(summary.columns, *rows)]
-    return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, wide)).rstrip() for r in [summary.columns, *rows])
+def write(rows: DataFrame, path: str, *, run_dir: str | None = None, **how) -> str:
+    """build() into a file; media are linked from there."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    target.write_text(build(rows, run_dir=run_dir or str(target.parent), page_dir=str(target.parent), **how), encoding="utf-8")
+    return str(target)
 
 
-def as_json(config: dict) -> str:
-    return json.dumps(config, sort_keys=True)
+def write_from_file(spark: SparkSession, scored: str, path: str, *, run_dir: str | None = None, title: str | None = None, max_samples: int | None = None) -> str:
+    """The report of a file of scored rows: its metrics are the score_ columns that hold numbers alone."""
+    from ..sources import manifest
+
+    rows = manifest.read(spark, scored)
+    base = run_dir or os.path.dirname(scored) or "."
+    return write(rows, path, run_dir=base, title=title or f"Evaluation: {Path(scored).resolve().parent.name}", max_samples=max_samples, metrics=evaluate.metrics_of(rows, all_numbers=True), groups=evaluate.default_groups(rows, run=False))
+
+
+def text_table(summary: DataFrame) -> str:
+    """A table in aligned columns, under its names without their prefix; numbers with four places."""
+    rows = [[f"{v:.4f}" if isinstance(v, float) else "" if v is None else str(v) for v in r] for r in summary.collect()]
+    names = [short(c) for c in summary.columns]
+    wide = [max(map(len, col)) for col in zip(names, *rows)]
+    return "\n".join("  " + "  ".join(v.ljust(w) for v, w in zip(r, wide)).rstrip() for r in [names, ["-" * w for w in wide], *rows])

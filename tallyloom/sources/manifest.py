@@ -7,9 +7,11 @@ import json
 import os
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+
+from ..errors import ManifestError
 
 #: Fixed order of the core columns.
 CORE = (
@@ -20,25 +22,17 @@ KINDS = {"fps": "double", "duration_sec": "double"} | dict.fromkeys(("n_frames",
 MEDIA = ("video", "image")
 
 
-class ManifestError(ValueError):
-    pass
-
-
 def read(spark: SparkSession, path: str, *, schema: str | None = None) -> DataFrame:
-    """Rows of a JSONL, CSV or Parquet manifest. Bad JSON, an empty file or one without its keys raise."""
-    low = path.lower()
-    if low.endswith(".csv"):
-        rows = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False, maxCharsPerColumn=-1, emptyValue="", nullValue="\0")
-    elif low.endswith(".parquet"):
-        rows = spark.read.parquet(path)
-    else:
-        kind = spark.createDataFrame([], schema).schema if schema else spark.read.json(path).drop("_corrupt_record").schema
-        if not kind.fields:
-            raise ManifestError(f"{path}: no rows, or none is a JSON object")
-        lines = spark.read.text(path).where(F.trim("value") != "")
-        rows = lines.select(F.from_json("value", StructType([*kind.fields, StructField("_bad", StringType())]), {"columnNameOfCorruptRecord": "_bad"}).alias("r"), "value")
-        bad = F.raise_error(F.concat(F.lit(f"{path}: not a JSON object: "), F.substring("value", 1, 80)))
-        rows = rows.select(F.when(F.col("r._bad").isNotNull(), bad).otherwise(F.col("r")).alias("r")).select("r.*").drop("_bad")
+    """Rows of a JSONL, CSV or Parquet manifest; blank lines count for nothing.
+
+    No file, a line that is no JSON object (named by its number), no rows, and rows without their keys raise.
+    """
+    try:
+        rows = _rows_of(spark, path, schema)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            raise ManifestError(f"manifest not found: {path}") from e
+        raise
     missing = [c for c in ("sample_id", "experiment") if c not in rows.columns]
     if missing:
         raise ManifestError(f"{path}: no column {missing}")
@@ -47,6 +41,21 @@ def read(spark: SparkSession, path: str, *, schema: str | None = None) -> DataFr
     return rows
 
 
+def _rows_of(spark: SparkSession, path: str, schema: str | None) -> DataFrame:
+    low = path.lower()
+    if low.endswith(".csv"):
+        return spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False, maxCharsPerColumn=-1, emptyValue="", nullValue="\0")
+    if low.endswith(".parquet"):
+        return spark.read.parquet(path)
+    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
+    kind = F.schema_of_variant(F.try_parse_json("value"))
+    bad = lines.where(F.trim("value") != "").where(~F.coalesce(kind.startswith("OBJECT"), F.lit(False))).agg(F.min(F.struct("line", "value")).alias("x")).first().x
+    if bad:
+        n = lines.where(F.col("line") <= bad.line).count()
+        raise ManifestError(f"{path}:{n}: not a JSON object: {bad.value[:80]}")
+    return spark.read.schema(schema).json(path) if schema else spark.read.json(path)
+
+
 def checked(rows: DataFrame) -> DataFrame:
     """Rows that must name a sample, an experiment, a condition and a path, and whose media are of a known kind; others raise."""
     bad: Column = F.lit(None).cast("string")
@@ -56,6 +65,12 @@ def checked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("sample_id", F.when(bad.isNotNull(), F.raise_error(bad)).otherwise(F.col("sample_id")))
 
 
+def reserved(extra: list[str]) -> None:
+    """Extra columns mustn't have a core column's name, nor that of the output."""
+    if clash := sorted(set(extra) & {*CORE, "model_output"}):
+        raise ManifestError(f"extra columns {clash} have reserved names")
+
+
 def unique_ids(rows: DataFrame) -> None:
     twice = rows.groupBy("sample_id").count().where("count > 1").orderBy("sample_id").limit(5).collect()
     if twice:

@@ -46,7 +46,7 @@ def test_sources(spark, tmp_path):
         manifest.read(spark, str(tmp_path / "bad.jsonl")).collect()
     (tmp_path / "q.jsonl").write_text('{"stem":"S","options":["a","b","c","d"],"answer":"B"}\n{"id":"q_0001","stem":"T","options":["a","b","c","d"],"answer":"2"}\n')
     got = {r.stem: (r.id, r.answer) for r in questions.shaped(questions.read_json(spark, str(tmp_path / "q.jsonl"))).collect()}
-    assert got == {"S": ("q_0002", "B"), "T": ("q_0001", "C")}
+    assert got == {"S": ("q_0000", "B"), "T": ("q_0001", "C")}
 
 
 def test_config():
