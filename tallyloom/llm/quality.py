@@ -1,10 +1,11 @@
 """Quality rules, in DataFrame functions only: a fixed base rule, then adaptive thresholds.
 
 The thresholds come from quantile sketches for each language and source: counts of a metric's values on a fixed
-grid of integers. Such sketches merge by adding counts, and give a quantile exactly to the grid's step. A
-document is rejected where a metric lies far out for its language and source: more than REACH times the spread
-between the quartiles above the upper one, the spread counting as LEAST at least, so that a group in which
-nearly all values are equal doesn't reject what is only a little off.
+grid of integers, a bounded number of them for each metric. Such sketches merge by adding counts, and give a
+quantile exactly to the grid's step, the same one in every run. A document is rejected where a metric lies far out
+for its language and source: more than REACH times the spread between the quartiles above the upper one, the spread
+counting as LEAST at least, so that a group in which nearly all values are equal doesn't reject what is only a
+little off.
 """
 
 from __future__ import annotations
@@ -16,68 +17,64 @@ from . import scratch
 from .mixing import WORD
 
 REACH = 3
-#: Metric -> (scale of the grid, least spread in steps of it).
-METRICS = {"symbol_share": (1000, 15), "word_length": (10, 15), "dup_line_share": (1000, 150)}
+#: Metric -> (steps of its grid to 1, least spread in steps, last cell of the grid). Shares end at 1; means of a word's
+#: code points from 1,000 on are in one cell. So a group's sketches hold 1,001 + 10,001 + 1,001 counts at most.
+METRICS = {"symbol_share": (1000, 15, 1000), "word_length": (10, 15, 10_000), "dup_line_share": (1000, 150, 1000)}
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SPACE = " \t\n\x0b\x0c\r"
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def _measured(docs: DataFrame, carry: list[str], text: str, lang: str, source: str) -> tuple[DataFrame, dict[str, str]]:
+    """The columns of carry with the counts, the grid values and the group, in one pass over the texts that is written out.
 
-
-def counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words; the last needs windows and is the costly one."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, _SPACE, "") != "")
-    out = docs.withColumns({
-        "n_words": F.regexp_count(t, F.lit(WORD)).cast("bigint"), "word_chars": F.length(F.translate(t, _SPACE, "")).cast("bigint"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("bigint"), "_lines": lines,
-    })
-    return out.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint")).drop("_lines")
-
-
-def repeat_words(docs: DataFrame, *, text: str = "text", window: int = 5) -> DataFrame:
-    """docs with n_repeat_words: the words inside windows of five words that occur twice or more in the text.
+    They have names that clash with none of docs; the names are returned by what they hold.
+    """
+    what = [*COUNTS, *METRICS, "lang", "source", "t", "lines", "n_lines", "h", "w", "any", "s", "at"]
+    name = dict(zip(what, scratch.private(docs, *what)))
+    c = {k: F.col(v) for k, v in name.items()}
+    rows = docs.select(*carry, F.col(lang).alias(name["lang"]), F.col(source).alias(name["source"]), F.coalesce(F.col(text), F.lit("")).alias(name["t"]))
+    rows = rows.withColumn(name["lines"], F.filter(F.split(c["t"], "\n"), lambda x: F.translate(x, _SPACE, "") != ""))
+    rows = rows.withColumns({
+        name["n_words"]: F.regexp_count(c["t"], F.lit(WORD)).cast("bigint"),
+        name["word_chars"]: F.length(F.translate(c["t"], _SPACE, "")).cast("bigint"),
+        name["n_symbols"]: (F.length(c["t"]) - F.length(F.translate(c["t"], "#*$%&|<>", ""))).cast("bigint"),
+        name["n_lines"]: F.size(c["lines"]).cast("bigint"),
+        name["n_dup_lines"]: (F.size(c["lines"]) - F.size(F.array_distinct(c["lines"]))).cast("bigint"),
+    })
+    rows = _with_repeat_words(rows, name)
+    rows = rows.withColumns({name[m]: v for m, v in _grid(name).items()})
+    kept = [*carry, *(name[k] for k in (*COUNTS, *METRICS, "lang", "source"))]
+    return scratch.stored(rows.select(*kept), "measured"), name
+
+
+def _with_repeat_words(rows: DataFrame, name: dict[str, str], window: int = 5) -> DataFrame:
+    """rows with the words inside windows of five words that occur twice or more in the text.
 
     Windows are compared by a 64-bit hash of their words' hashes. Only texts in which some window repeats are sorted:
     the repeats' places in order, each adds its window's words up to the next place.
     """
-    hashes = F.transform(_words(F.col(text)), lambda w: F.xxhash64(w))
-    wide = docs.withColumn("_h", hashes)
-    places = F.when(F.size("_h") >= window, F.sequence(F.lit(1), F.size("_h") - (window - 1))).otherwise(F.array().cast("array<int>"))
-    wide = wide.withColumn("_w", F.transform(places, lambda i: F.xxhash64(*[F.get(F.col("_h"), i + (k - 1)) for k in range(window)])))
-    wide = wide.withColumn("_any", F.size(F.array_distinct("_w")) < F.size("_w"))
-    ranked = F.when(F.col("_any"), F.sort_array(F.transform("_w", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    wide = wide.withColumn("_s", ranked)
-    same = lambda x, i: (F.get(F.col("_s"), i - 1).h == x.h) | (F.get(F.col("_s"), i + 1).h == x.h)
-    at = F.when(F.col("_any"), F.array_sort(F.transform(F.filter("_s", lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x.i)))
-    wide = wide.withColumn("_at", at)
-    added = F.aggregate("_at", F.struct(F.lit(0).alias("n"), F.lit(-window).alias("last")), lambda a, i: F.struct((a.n + F.least(F.lit(window), i - a.last)).alias("n"), i.alias("last")), lambda a: a.n)
-    return wide.withColumn("n_repeat_words", F.coalesce(added, F.lit(0)).cast("bigint")).drop("_h", "_w", "_any", "_s", "_at")
-
-
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-
-
-def _grid() -> dict[str, Column]:
-    """The metrics on their grids, as integers; of documents without words 0."""
-    some = F.col("n_words") > 0
-    return {
-        "symbol_share": F.when(some, F.expr(f"n_symbols * {METRICS['symbol_share'][0]} div word_chars")).otherwise(0),
-        "word_length": F.when(some, F.expr(f"word_chars * {METRICS['word_length'][0]} div n_words")).otherwise(0),
-        "dup_line_share": F.when(F.col("n_lines") > 0, F.expr(f"n_dup_lines * {METRICS['dup_line_share'][0]} div n_lines")).otherwise(0),
-    }
-
-
-def _n_lines(text: str) -> Column:
-    """Lines with a word."""
-    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\n]*[^\x20\x09-\x0D\n][^\n]*"))
-
-
-def sketches(measured: DataFrame, group: list[str]) -> DataFrame:
-    """Per group and metric, how many documents have each grid value: merged by adding n."""
-    one = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("bigint").alias("v")) for m in METRICS]))
+    h, w, some, s, at = (F.col(name[k]) for k in ("h", "w", "any", "s", "at"))
+    words = F.filter(F.split(F.col(name["t"]), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    rows = rows.withColumn(name["h"], F.transform(words, lambda x: F.xxhash64(x)))
+    places = F.when(F.size(h) >= window, F.sequence(F.lit(1), F.size(h) - (window - 1))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn(name["w"], F.transform(places, lambda i: F.xxhash64(*[F.get(h, i + (k - 1)) for k in range(window)])))
+    rows = rows.withColumn(name["any"], F.size(F.array_distinct(w)) < F.size(w))
+    rows = rows.withColumn(name["s"], F.when(some, F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    same = lambda x, i: (F.get(s, i - 1).h == x.h) | (F.get(s, i + 1).h == x.h)
+    rows = rows.withColumn(name["at"], F.when(some, F.array_sort(F.transform(F.filter(s, lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x.i))))
+    added = F.aggregate(at, F.struct(F.lit(0).alias("n"), F.lit(-window).alias("last")), lambda a, i: F.struct((a.n + F.least(F.lit(window), i - a.last)).alias("n"), i.alias("last")), lambda a: a.n)
+    return rows.withColumn(name["n_repeat_words"], F.coalesce(added, F.lit(0)).cast("bigint"))
+
+
+def _grid(name: dict[str, str]) -> dict[str, Column]:
+    """The metrics on their grids, as integers; of documents without words or lines 0."""
+    parts = {"symbol_share": ("n_symbols", "word_chars"), "word_length": ("word_chars", "n_words"), "dup_line_share": ("n_dup_lines", "n_lines")}
+    return {m: F.when(F.col(name[of]) > 0, F.least(F.expr(f"`{name[n]}` * {METRICS[m][0]} div `{name[of]}`"), F.lit(METRICS[m][2]))).otherwise(0) for m, (n, of) in parts.items()}
+
+
+def sketches(measured: DataFrame, group: list[str], metrics: dict[str, str]) -> DataFrame:
+    """Per group and metric (its column by its name), how many documents have each grid value: merged by adding n."""
+    one = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).cast("bigint").alias("v")) for m, c in metrics.items()]))
     return measured.select(*group, one.alias("x")).groupBy(*group, "x.metric", "x.v").agg(F.count("*").alias("n"))
 
 
@@ -88,45 +85,47 @@ def thresholds(sketch: DataFrame, group: list[str]) -> DataFrame:
     ranked = sketch.withColumn("upto", upto).withColumn("all", F.sum("n").over(by))
     quarter = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("all"), F.col("v")))
     q = ranked.groupBy(*group, "metric").agg(quarter(1).alias("q1"), quarter(3).alias("q3"))
-    spread = F.greatest(F.col("q3") - F.col("q1"), F.element_at(F.create_map(*[F.lit(x) for m, (_, s) in METRICS.items() for x in (m, s)]), F.col("metric")))
+    spread = F.greatest(F.col("q3") - F.col("q1"), F.element_at(F.create_map(*[F.lit(x) for m, (_, s, _) in METRICS.items() for x in (m, s)]), F.col("metric")))
     q = q.withColumn("most", F.col("q3") + REACH * spread)
     return q.groupBy(*group).agg(*[F.max(F.when(F.col("metric") == m, F.col("most"))).alias(f"{m}_most") for m in METRICS])
 
 
-def judged(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
-
-    Nulls: a null text has no words and fails the base rule; null lang or source form groups of their own. Repeated rows
-    are judged each. Thresholds are drawn from all documents, in a pass of its own that reads the cheap metrics only.
-    """
-    own = ["_lang", "_source"]
-    grouped = docs.withColumns({"_lang": F.col(lang), "_source": F.col(source)})
-    cheap = counts(grouped.select(*own, F.col(text).alias("_t")), text="_t").withColumn("n_lines", _n_lines("_t")).select(*own, *[c.alias(m) for m, c in _grid().items()])
-    limits = scratch.stored(thresholds(sketches(cheap, own), own), "thresholds")
-    limits = limits.withColumnsRenamed({"_lang": "_l", "_source": "_s"})
+def _verdicts(docs: DataFrame, carry: list[str], text: str, lang: str, source: str) -> tuple[DataFrame, dict[str, str], Column, Column]:
+    """The measured rows met with their group's thresholds; their names, base_failed and kept."""
+    rows, name = _measured(docs, carry, text, lang, source)
+    limits = scratch.stored(thresholds(sketches(rows, [name["lang"], name["source"]], {m: name[m] for m in METRICS}), [name["lang"], name["source"]]), "thresholds", 8)
+    own = dict(zip(["l", "s", *METRICS], scratch.private(rows, "l", "s", *METRICS)))
+    limits = limits.select(F.col(name["lang"]).alias(own["l"]), F.col(name["source"]).alias(own["s"]), *[F.col(f"{m}_most").alias(own[m]) for m in METRICS])
     limits = F.broadcast(limits) if scratch.small_enough(limits, 100_000) else limits
-    full = repeat_words(counts(grouped, text=text), text=text).withColumn("n_lines", _n_lines(text))
-    met = full.join(limits, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left")
+    met = rows.join(limits, F.col(name["lang"]).eqNullSafe(F.col(own["l"])) & F.col(name["source"]).eqNullSafe(F.col(own["s"])), "left")
+    failed = (F.col(name["n_words"]) < 10) | (100 * F.col(name["n_repeat_words"]) > 20 * F.col(name["n_words"]))
     far = F.lit(False)
-    for m, c in _grid().items():
-        far = far | (c > F.col(f"{m}_most"))
-    met = met.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
-    return met.drop("_lang", "_source", "_l", "_s", "n_lines", *[f"{m}_most" for m in METRICS])
+    for m in METRICS:
+        far = far | (F.col(name[m]) > F.col(own[m]))
+    return met, name, failed, ~failed & ~F.coalesce(far, F.lit(False))
 
 
-def kept_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that are kept.
+def judged(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", carry: list[str] | None = None) -> DataFrame:
+    """The columns carry of docs (all, if none are named) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
 
-    The row number keeps the filter above the projections: pushed below, it would hold their array functions one inside the
-    other and make every word's hashes anew for each window.
+    Nulls: a null text has no words and fails the base rule; null lang or source form groups of their own. Repeated rows
+    are judged each, ties share a verdict. Columns of docs that have a result's name are replaced, others of any name stay.
+    An empty table gives an empty one. Texts of any length are read whole; each is measured once, and the thresholds come from those measures.
     """
-    rows = judged(docs, **how).withColumn("_row", F.monotonically_increasing_id())
-    return rows.where(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
+    results = [*COUNTS, "base_failed", "kept"]
+    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in results]
+    met, name, failed, kept = _verdicts(docs, carry, text, lang, source)
+    return met.select(*carry, *[F.col(name[c]).alias(c) for c in COUNTS], failed.alias("base_failed"), kept.alias("kept"))
+
+
+def kept_documents(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The rows of docs that are kept, with its columns as they are; nulls and ties as in judged()."""
+    met, _, _, kept = _verdicts(docs, docs.columns, text, lang, source)
+    return met.where(kept).select(*docs.columns)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
-    docs = scratch.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged(scratch.table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
 OP9_SQL = r"""
@@ -137,7 +136,7 @@ m as (select r, doc_id, lang, source, len(ws)::bigint as n_words, len(array_to_s
 g as (select r, i, hash(ws[i], ws[i+1], ws[i+2], ws[i+3], ws[i+4]) as h from (select r, ws, unnest(range(1, len(ws) - 3)) as i from w where len(ws) >= 5)),
 p as (select r, i from (select r, i, count(*) over (partition by r, h) as n from g) where n > 1),
 q as (select r, sum(least(5, i - before))::bigint as n_repeat_words from (select r, i, coalesce(lag(i) over (partition by r order by i), i - 5) as before from p) group by r),
-a as (select m.*, coalesce(q.n_repeat_words, 0)::bigint as n_repeat_words, case when n_words > 0 then n_symbols * 1000 // word_chars else 0 end as v1, case when n_words > 0 then word_chars * 10 // n_words else 0 end as v2,
+a as (select m.*, coalesce(q.n_repeat_words, 0)::bigint as n_repeat_words, case when n_words > 0 then n_symbols * 1000 // word_chars else 0 end as v1, case when n_words > 0 then least(word_chars * 10 // n_words, 10000) else 0 end as v2,
   case when n_lines > 0 then n_dup_lines * 1000 // n_lines else 0 end as v3 from m left join q using (r)),
 z as (select lang as l, source as s, quantile_disc(v1, 0.75) + 3 * greatest(quantile_disc(v1, 0.75) - quantile_disc(v1, 0.25), 15) as m1, quantile_disc(v2, 0.75) + 3 * greatest(quantile_disc(v2, 0.75) - quantile_disc(v2, 0.25), 15) as m2,
   quantile_disc(v3, 0.75) + 3 * greatest(quantile_disc(v3, 0.75) - quantile_disc(v3, 0.25), 150) as m3 from a group by lang, source),
