@@ -145,9 +145,8 @@ def stratified(rows: DataFrame, group: str, order: str, k: int, seed: int = 42)
 
 
 def first_wins(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
-    """Of rows with the same trimmed key the first; blank keys go. A key's rows are reduced where they are before they meet."""
-    named = rows.withColumn("_key", F.trim(key)).where("_key <> ''")
-    first = named.groupBy("_key").agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_row"))
+    """Of rows with the same trimmed key the first; blank keys go. Keys are told apart by their SHA-256; a key's rows are reduced where they are before they meet."""
+    first = rows.where(F.trim(key) != "").groupBy(F.sha2(F.trim(key), 256).alias("_key")).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_row"))
     return first.select("_row.*")
 
 

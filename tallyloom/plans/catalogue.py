@@ -473,13 +473,12 @@ def perft(spark, d):
 
 @query()
 def manifest_roundtrip(spark, d):
-    """Rows written as one JSONL file on the driver and read again; for local sessions, as the file is the driver's."""
-    import tempfile
-
+    """Rows written as one JSONL file into the shared folder, which the driver sees as a path, and read again."""
+    from .. import storage
     from ..sources import manifest
 
     rows = _t(spark, d, "nation").selectExpr("cast(n_nationkey as string) as sample_id", "'asl' as experiment", "n_name as condition", "n_regionkey as game_index")
-    path = f"{tempfile.mkdtemp(prefix='tallyloom-')}/manifest.jsonl"
+    path = storage.scratch_path(spark, "manifest").removeprefix("file://") + ".jsonl"
     manifest.write_file(rows, path)
     return manifest.read(spark, f"file://{path}", schema="sample_id string, experiment string, condition string, game_index int")
 

@@ -58,6 +58,22 @@ def kept(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Bytes of a batch that goes to a Python worker while a table is stored; long texts then take little memory on both sides.
+BATCH_BYTES = 4 << 20
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Inside, batches to Python workers hold BATCH_BYTES or one row."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def files_for(rows: int, each: int = 20_000) -> int:
     """How many files hold so many rows, about so many in each."""
     return max(1, -(-rows // each))
@@ -71,7 +87,8 @@ def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    (df.coalesce(files) if files else df).write.parquet(path)
+    with small_batches(spark):
+        (df.coalesce(files) if files else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path  # noqa: SLF001
     if _working:

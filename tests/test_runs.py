@@ -424,3 +424,47 @@ def test_reserved_names():
 
 def test_codec():
     assert items.CODEC_NAMES["libx264"] == "h264"
+
+
+def test_package_names(spark):
+    import tallyloom
+
+    assert tallyloom.Settings is config.Settings and tallyloom.evaluate is evaluate.evaluate and tallyloom.prompts is prompts and tallyloom.build is experiments.build
+    assert all(getattr(tallyloom, n) is not None for n in tallyloom.__all__)
+    with pytest.raises(AttributeError):
+        tallyloom.nothing
+    assert tallyloom.register_functions(spark) == ["tallyloom_normalise", "tallyloom_word_edits"]
+    r = spark.sql("select tallyloom_normalise('The ﬁne Été!') as t, tallyloom_word_edits(array('a', 'b'), array('a', 'c', 'd')) as n").first()
+    assert (r.t, r.n) == ("fine ete", 2)
+
+
+def test_templates_are_filled_once(spark):
+    rows = spark.createDataFrame([("{a} and {b}, {{a}} {a}", "{b}", "X"), ("{b}{a}", None, "Y")], "t string, a string, b string")
+    assert [r.x for r in rows.select(items.render(F.col("t"), {"a": F.col("a"), "b": F.col("b")}).alias("x")).collect()] == ["{b} and X, {a} {b}", None]
+    with pytest.raises(Exception, match="fields"):
+        rows.select(items.render(F.col("t"), {"a": F.col("a")}).alias("x")).collect()
+
+
+def test_first_wins(spark):
+    rows = spark.createDataFrame([(3, " a", "x"), (1, "a ", "y"), (2, None, "z"), (4, " ", "w"), (5, "b", "v")], "n int, k string, o string")
+    assert sorted(tuple(r) for r in sampling.first_wins(rows, F.col("k"), ["n"]).collect()) == [(1, "a ", "y"), (5, "b", "v")]
+
+
+def test_intermediate_tables(spark):
+    from tallyloom import storage
+
+    rows = spark.range(10)
+    with storage.working():
+        gone = storage.stored(rows, "a", 1)
+        with storage.working():
+            inner = storage.kept(storage.stored(rows, "b"))
+        stays = storage.kept(storage.stored(rows, "c"))
+        assert gone.count() == inner.count() == 10
+    assert stays.count() == 10 and storage.files_for(0) == 1 and storage.files_for(20_001) == 2
+    for df in (gone, inner):
+        with pytest.raises(Exception):
+            df.count()
+    storage.discard(stays)
+    spark.conf.set("spark.checkpoint.dir", "file:///tmp/shared/")
+    assert storage.shared_dir(spark) == "file:///tmp/shared"
+    spark.conf.unset("spark.checkpoint.dir")
