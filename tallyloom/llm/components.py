@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from . import scratch
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", files: int | None = None) -> DataFrame:
     """node, root: for every node of links the smallest node that it is connected with.
 
     Each round links every node's larger neighbours, then its smaller ones, to the smallest; rounds grow with the
     logarithm of the longest path. Rounds are written out, so lineage stays short. Null ends and loops are ignored.
+    files: how many the links are written to at first.
     """
-    edges = scratch.stored(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
+    edges = scratch.stored(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links", files)
     before = _print(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -23,7 +24,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(small, "u")
         now = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small.select("u", F.col("m").alias("v"))).distinct()
-        now = scratch.stored(now, "links")
+        now = scratch.stored(now, "links", scratch.files_for(before[0], 100_000))
         after = _print(now)
         scratch.discard(edges)
         edges = now

@@ -1,55 +1,22 @@
-"""Intermediate tables in the folder that all executors share.
-
-``spark.checkpoint.dir`` names the folder. Only where it is unset, and only on a local master,
-a folder of this process is used instead.
-"""
+"""Helpers of the operators here: intermediate tables, names that clash with none, and sizes of tables."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_own: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; raises on a cluster that names none."""
-    global _own
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
-    if _own is None:
-        _own = tempfile.mkdtemp(prefix="tallyloom-")
-        atexit.register(shutil.rmtree, _own, ignore_errors=True)
-    return f"file://{_own}"
-
+from ..storage import discard, files_for, kept, scratch_path, shared_dir, stored, working
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
+__all__ = ["discard", "files_for", "kept", "private", "scratch_path", "shared_dir", "small_enough", "spread_join", "stored", "table", "working"]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once and read it back: later actions neither recompute it nor depend on the executors that made it."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path  # noqa: SLF001
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete what stored() wrote for frames that nothing reads any more."""
-    for df in frames:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)  # noqa: SLF001
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def private(docs: DataFrame, *names: str) -> list[str]:
+    """The names with a prefix that no column of docs starts with."""
+    taken = [c.lower() for c in docs.columns]
+    prefix = "_"
+    while any(c.startswith(prefix) for c in taken):
+        prefix += "_"
+    return [prefix + n for n in names]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,3 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_enough(df: DataFrame, limit: int) -> bool:
     """Whether df has at most limit rows; reads no more than limit + 1 of them."""
     return df.limit(limit + 1).count() <= limit
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """left with what right has for its keys: a row for each, with the number of left's rows (total in all) that have it.
+
+    Keys of many rows are sent to all tasks, so that their rows don't meet in one: fewer than 100,000 of them, whatever the total.
+    """
+    limit = max(1000, total // 100_000)
+    hot = F.broadcast(right.where(F.col(count) > limit).drop(count))
+    rest = left.join(F.broadcast(right.where(F.col(count) > limit).select(*on)), on, "left_anti").join(right.where(F.col(count) <= limit).drop(count), on)
+    return left.join(hot, on).unionByName(rest)
