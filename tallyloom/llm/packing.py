@@ -2,9 +2,13 @@
 
 Hierarchical residual packing: each partition packs its pieces best-fit by falling length. Bins that are
 full or nearly so are emitted; underfull bins go up a tree as items, where fewer, larger nodes pack them
-again, until one node is left. A node passes on at most carry bins, those with most room; the others are
-emitted as they are, so no node's work grows with the input and no piece is dropped. Only lengths and
-keys move; the ids stay where they are.
+again, until one node is left. Only lengths and keys move; the ids stay where they are.
+
+No node gets more than its share, and nothing is lost by that. Of a node's bins no two fit into one, or best fit
+would have put the later one's first item into the earlier one; so at most one is no more than half full. Two bins
+can merge only if one of them is. A parent of fan_in nodes thus makes fan_in merges at most, and takes no more bins
+of any one fill. A node therefore passes on that many of each fill, fan_in * capacity in all at most:
+the parent packs these as it would all of them.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import scratch, workers
 from .tokens import Encoder, tokenizer_path
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, item bigint"
@@ -36,7 +40,7 @@ def pieces_of(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", to
         from pyspark import TaskContext
 
         item = TaskContext.get().partitionId() << 40
-        encoder, end = Encoder.of(file), np.array([end_id], "<u4")
+        encoder, end = Encoder.of(file, 150_000), np.array([end_id], "<u4")  # a smaller table: this follows other work in its process
         for batch in batches:
             out: list[tuple] = []
             for name, ids in zip(batch.column(0).to_pylist(), encoder.encode(t.as_py() for t in batch.column(1))):
@@ -51,7 +55,7 @@ def pieces_of(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", to
             cols = list(zip(*out)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in _PIECES.split(", ")])
 
-    return rows.mapInArrow(cut, _PIECES)
+    return rows.mapInArrow(workers.task(cut, "tokens"), _PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,17 +85,20 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offset
 
 
-def pack(pieces: DataFrame, *, capacity: int = 1024, nearly_full: int | None = None, fan_in: int = 8, carry: int = 4096, leaves: int | None = None) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = 1024, nearly_full: int | None = None, fan_in: int = 8, leaf_items: int = 50_000, leaves: int | None = None) -> DataFrame:
     """Place pieces (item, length, ...): adds sequence_id and offset; no sequence holds more than capacity.
 
-    nearly_full: bins of so many tokens are emitted at once (default: all but 1/64). Ties fall to the smaller item.
-    An empty table gives an empty one; a length over capacity raises.
+    nearly_full: bins of so many tokens are emitted at once (default: all but 1/64). leaf_items: items of a partition, about;
+    there are as many partitions as that takes. Ties fall to the smaller item.
+    An empty table gives an empty one; a length that is null or over capacity raises.
     """
-    spark = pieces.sparkSession
     full = nearly_full or capacity - capacity // 64
-    n = leaves or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    alone = F.col("length") >= full
+    alone = F.coalesce(F.col("length") >= full, F.lit(False))
     level = pieces.where(~alone).select(F.col("item").alias("unit"), F.col("length").alias("fill"))
+    n = leaves or max(1, -(-level.count() // leaf_items))
+    wrong = pieces.where("length is null or length > " + str(int(capacity))).select("length").first()
+    if wrong:
+        raise ValueError(f"a piece of {wrong[0]} tokens, where the capacity is {capacity}")
     made: list[DataFrame] = []  # unit, bin, offset, fill of the bin, up: whether the bin goes on as an item
     depth = 0
     while True:
@@ -107,18 +114,16 @@ def pack(pieces: DataFrame, *, capacity: int = 1024, nearly_full: int | None = N
             unit, fill = whole.column(0).to_numpy(), whole.column(1).to_numpy()
             order = np.argsort(unit, kind="stable")
             unit, fill = unit[order], fill[order]
-            if fill.max() > capacity:
-                raise ValueError(f"a piece of {fill.max()} tokens is longer than the capacity, {capacity}")
             b, offset = best_fit(fill, capacity)
             total = np.bincount(b, weights=fill).astype(np.int64)
-            up = (total < full) & (not last)
-            if up.sum() > carry:
-                least = np.argsort(total, kind="stable")[:carry]
-                up &= np.isin(np.arange(len(total)), least)
+            by = np.argsort(total, kind="stable")
+            rank = np.arange(len(by)) - np.searchsorted(total[by], total[by])  # among the bins of one fill
+            up = np.zeros(len(total), bool)
+            up[by] = (total[by] < full) & (rank < fan_in) & (not last)
             base = -((depth + 1) << 56) - (TaskContext.get().partitionId() << 34)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (unit, base - b, offset, total[b], up[b])], names=["unit", "bin", "offset", "total", "up"])
 
-        placed = scratch.stored(dealt.mapInArrow(place, "unit bigint, bin bigint, offset bigint, total bigint, up boolean"), f"pack{depth}")
+        placed = scratch.stored(dealt.mapInArrow(workers.task(place, "tokens"), "unit bigint, bin bigint, offset bigint, total bigint, up boolean"), f"pack{depth}")
         made.append(placed)
         if last:
             break

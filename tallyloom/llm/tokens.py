@@ -17,6 +17,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
+from . import workers
+
 #: White space other than single spaces and line ends.
 _ODD = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _DOUBLE = ("  ", " \n", "\n ", "\n\n")
@@ -25,7 +27,7 @@ MEMO_ENTRIES = 400_000
 #: Longer chunks are rare words or unspaced text and are not remembered.
 MEMO_BYTES = 40
 #: Text that is cut and gathered at once.
-CUT_BYTES = 3 << 20
+CUT_BYTES = 4 << 20
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -81,9 +83,10 @@ class _Memo(dict):
 class Encoder:
     """Ids of texts as little-endian uint32; one per worker process and file."""
 
-    _made: dict[str, Encoder] = {}
+    _made: dict[tuple[str, int], Encoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int | None = None):
+        self.entries = MEMO_ENTRIES if entries is None else entries
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -96,10 +99,12 @@ class Encoder:
         self.memo = _Memo(self)
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, entries: int | None = None) -> Encoder:
+        """The process's encoder of a file, with a table of so many entries; it stays until a task of other work begins."""
+        key = (path, MEMO_ENTRIES if entries is None else entries)
+        if key not in cls._made:
+            cls._made[key] = cls(*key)
+        return cls._made[key]
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
@@ -134,15 +139,15 @@ class Encoder:
         at[begins[:-1]] = True
         edges = np.append(np.flatnonzero(at), len(data)).astype(np.int64)
         chunks = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
-        if len(self.memo) > MEMO_ENTRIES:
+        if len(self.memo) > self.entries:
             self.memo.aged()
         ids_of = list(map(self.memo.__getitem__, chunks.dictionary.to_pylist()))
         flat, length = np.frombuffer(b"".join(ids_of), "<u4"), np.fromiter(map(len, ids_of), np.int64, len(ids_of)) // 4
         which = chunks.indices.to_numpy()
         many = length[which]
         upto = np.cumsum(many)
-        place = np.repeat((np.cumsum(length) - length)[which] - upto + many, many)
-        place += np.arange(upto[-1])
+        place = np.repeat(((np.cumsum(length) - length)[which] - upto + many).astype(np.int32), many)  # some megabytes of ids
+        place += np.arange(upto[-1], dtype=np.int32)
         ids = flat[place]
         ends = upto[np.searchsorted(edges, begins[1:]) - 1].tolist()
         start, k = 0, 0
@@ -152,3 +157,6 @@ class Encoder:
                 start, k = ends[k], k + 1
             else:
                 yield x
+
+
+workers.keeps("tokens", Encoder._made.clear)
