@@ -2,11 +2,11 @@
 
 Every document has a place in its source, by the md5 of its doc_id (a fixed shuffle). The source plays its
 documents over and over; a copy's virtual finish time is the source's tokens up to its end divided by the
-source's target. All copies, in the order of that time, are the mix, cut where the total budget is used up.
-A source's target is at most max_repeats times its size, so no document is taken more often than that.
+source's target. All copies are sorted by that time over ranges of it, and the mix is what comes before the total
+budget is used up. A source's target is at most max_repeats times its size, so no document is taken more often than that.
 
 Running sums are taken in two levels: within slots of the shuffle (rows spread evenly by a hash, so a source
-that holds most rows has more slots), and over the slots' totals.
+that holds most rows has more slots) or ranges of time, and over their totals.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ from . import scratch
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a slot holds about.
 SLOT_ROWS = 4000
-#: Slots of virtual time.
-TIME_SLOTS = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -46,73 +44,74 @@ def targets(sizes: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repea
     return ranked.withColumn("level", level).withColumn("level", F.max(fits).over(whole)).select("source", "source_size", F.least(F.col("most").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("most").cast("double"))).alias("target"))
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
-    """Per row of docs: doc_id, size, source_size, target, copies, taken, order (doc_id's place in the shuffle), and the time of its first copy.
+def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
+    """Per row of docs: doc_id, source, size, source_size, target, copies, taken, order (doc_id's place in the shuffle), the times of its copies, and row.
 
-    Nulls: a null text has size 0, a null source is a source of its own, a null doc_id is shuffled as ''. Rows with a
-    repeated doc_id are rows of their own. Documents without words take part with size 0. Reruns agree.
+    row: a column that tells rows apart, carried along. Nulls: a null text has size 0, a null source is a source of its own,
+    a null doc_id is shuffled as ''. Rows with a repeated doc_id are rows of their own, ties in doc_id and size any way round.
+    Documents without words take part once, with size 0. An empty table gives an empty one; extra columns are ignored, texts are
+    counted whole. Reruns agree.
     """
     spark = docs.sparkSession
-    sized = scratch.stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "mix")
+    named = F.col(row) if row else F.lit(None).cast("bigint")
+    sized = scratch.stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), named.alias("row")), "mix")
+    files = scratch.files_for(sized.count(), 50_000)
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     per_source = per_source.withColumn("slots", F.greatest(F.lit(1), F.least(F.lit(1 << 20), (F.col("n") / SLOT_ROWS).cast("int") + 1)))
     aims = targets(per_source.select("source", "source_size"), weights=weights, max_repeats=max_repeats)
     aims = aims.select(F.col("source").alias("s"), "target")
-    aims = scratch.stored(per_source.join(aims, F.col("source").eqNullSafe(F.col("s"))).select("s", "source_size", "target", "slots"), "aims")
+    aims = scratch.stored(per_source.join(aims, F.col("source").eqNullSafe(F.col("s"))).select("s", "source_size", "target", "slots"), "aims", 8)
     few = scratch.small_enough(aims, 20_000)
-    named = F.broadcast(aims) if few else aims
+    by_source = F.broadcast(aims) if few else aims
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = sized.join(named, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", key.alias("order"), "slots")
+    rows = sized.join(by_source, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "row", "source_size", "target", key.alias("order"), "slots")
     rows = rows.withColumn("slot", F.floor(F.conv(F.substring("order", 1, 10), 16, 10).cast("double") / float(1 << 40) * F.col("slots")).cast("int")).drop("slots")
     # First level: sums of slots, and before each slot of its source; second level: within the slot.
     slots = rows.groupBy("source", "slot").agg(F.sum("size").alias("of_slot"))
     over = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = slots.select(F.col("source").alias("s"), F.col("slot").alias("k"), F.coalesce(F.sum("of_slot").over(over), F.lit(0)).alias("before"))
     within = Window.partitionBy("source", "slot").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, 0)
-    end = rows.withColumn("within", F.sum("size").over(within)).join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("slot") == F.col("k"))).withColumn("end", F.col("before") + F.col("within")).select("doc_id", "source", "size", "source_size", "target", "order", "end")
-    placed = scratch.stored(end, "placed")
-    time = (F.col("round") * F.col("source_size") + F.col("end")) / F.col("target")
-    copies = placed.where("size > 0 and target > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1)))).select("size", time.alias("time"))
+    end = rows.withColumn("within", F.sum("size").over(within)).join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("slot") == F.col("k"))).withColumn("end", F.col("before") + F.col("within"))
+    time = lambda k: (F.lit(float(k)) * F.col("source_size") + F.col("end")) / F.col("target")
+    times = F.when((F.col("size") > 0) & (F.col("target") > 0), F.array(*[time(k) for k in range(max_repeats)]))
+    placed = scratch.stored(end.select("doc_id", "source", "size", "row", "source_size", "target", "order", times.alias("times"), F.coalesce(F.try_divide(F.col("end").cast("double"), F.col("target")), F.lit(0.0)).alias("time")), "placed", files)
     budget = aims.agg(F.sum("source_size")).first()[0] or 0
-    cut = _cut(copies, budget)
-    taken = sum((F.when((F.lit(float(k)) * F.col("source_size") + F.col("end")) / F.col("target") <= F.lit(cut), 1).otherwise(0) for k in range(max_repeats)), F.lit(0))
-    whole = placed.withColumn("copies", F.when((F.col("size") > 0) & (F.col("target") > 0), taken).otherwise(F.lit(1)).cast("int"))
-    return whole.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("bigint").alias("taken"), "order", (F.col("end") / F.col("target")).alias("time"))
+    cut = _cut(placed.select("size", F.explode("times").alias("time")), budget, files)
+    taken = F.when(F.col("times").isNull(), F.array("time")).otherwise(F.filter("times", lambda t: t <= F.lit(cut)))
+    whole = placed.withColumn("times", taken).withColumn("copies", F.size("times"))
+    return whole.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("bigint").alias("taken"), "order", "times", "row")
 
 
-def _cut(copies: DataFrame, budget: int) -> float:
-    """The last time up to which copies add up to no more than budget.
+def _cut(copies: DataFrame, budget: int, files: int) -> float:
+    """The last time up to which copies (size, time) add up to no more than budget; those of one time count together.
 
-    Time runs to about max_repeats at most where it matters: whole slots are added first, and only the slot in which
-    the budget ends is sorted.
+    The copies are sorted by time over ranges of it: a range's sums begin at the total of the ranges before it.
     """
-    slot = F.least(F.lit(8 * TIME_SLOTS), F.floor(F.col("time") * TIME_SLOTS)).cast("int")
-    slotted = copies.withColumn("slot", slot)
-    over = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    sums = slotted.groupBy("slot").agg(F.sum("size").alias("size")).withColumn("upto", F.sum("size").over(over))  # at most 8 * TIME_SLOTS + 1 rows
-    last = sums.where(F.col("upto") > budget).orderBy("slot").select("slot", (F.col("upto") - F.col("size")).alias("before")).first()
-    if last is None:
-        return float("inf")
-    in_slot = slotted.where(F.col("slot") == last.slot).groupBy("time").agg(F.sum("size").alias("size"))
-    by_time = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    fits = in_slot.withColumn("upto", F.lit(last.before) + F.sum("size").over(by_time)).where(F.col("upto") <= budget)
-    found = fits.agg(F.max("time")).first()[0]
-    if found is not None:
-        return float(found)
-    earlier = slotted.where(F.col("slot") < last.slot).agg(F.max("time")).first()[0]
-    return float("-inf") if earlier is None else float(earlier)
+    spark = copies.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    sorted_ = scratch.stored(copies.repartitionByRange(n, "time").groupBy(F.spark_partition_id().alias("range"), "time").agg(F.sum("size").alias("size")), "times", files)
+    over = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each task of the sort.
+    ranges = sorted_.groupBy("range").agg(F.sum("size").alias("of_range")).select("range", F.coalesce(F.sum("of_range").over(over), F.lit(0)).alias("before"))
+    within = Window.partitionBy("range").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+    upto = sorted_.withColumn("within", F.sum("size").over(within)).join(F.broadcast(ranges), "range").where(F.col("before") + F.col("within") <= budget)
+    last = upto.agg(F.max("time")).first()[0]
+    return float("-inf") if last is None else float(last)
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken."""
-    plan = mix(docs, **how)
-    # copies depend on doc_id, source and size alone (ties in all three have the same place), so the same key finds them.
-    counts = plan.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n")).agg(F.max("copies").alias("_copies"))
-    counts = counts.where("_copies <> 1")  # those not taken, or taken again
-    sized = docs.withColumn("_size", word_count(F.col(how.get("text", "text"))))
-    right = F.broadcast(counts) if scratch.small_enough(counts, 200_000) else counts
-    same = F.col(how.get("doc_id", "doc_id")).eqNullSafe(F.col("_d")) & F.col(how.get("source", "source")).eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))
-    return sized.join(right, same, "left").withColumn("_copy", F.explode(F.expr("array_repeat(0, coalesce(_copies, 1))"))).select(*docs.columns)
+    """The mix itself: the rows of docs, each as often as it is taken, sorted by virtual finish time over the partitions.
+
+    Columns of docs stay, whatever their names; nulls, ties and empty tables as in mix().
+    """
+    row, key, at = scratch.private(docs, "row", "key", "time")
+    # The number is written with the row: it stays what it is when a task runs again.
+    whole = scratch.stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    plan = mix(whole, row=row, **how)
+    copies = plan.select(F.col("row").alias(key), F.explode("times").alias(at))
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    mixed = whole.join(copies, F.col(row) == F.col(key))
+    return mixed.repartitionByRange(n, at, row).sortWithinPartitions(at, row).select(*docs.columns)
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
