@@ -3,30 +3,37 @@
 What looks like a number of a known kind is validated (Luhn, mod 97, octets, calendar, number plans) and then
 permuted within its format by a keyed Feistel network: digits stay digits, separators stay, check digits are made
 anew, dates stay dates. A value's pseudonym depends on its kind, its canonical form and the key alone, so equal
-values stay linked across documents, and different ones of a kind never fall together.
+values stay linked across documents, and different ones of a kind never fall together. The canonical form of an
+address is its lower-case one, that of a phone its country code and digits (a number without a code that has the
+ten-digit form is +1), that of a date its day, that of a card or account its characters without separators. The
+pseudonym of that form is laid out as the value was.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import hashlib
 import re
+import secrets
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import scratch, workers
 
 ROUNDS = 8
-DEFAULT_KEY = b"tallyloom pseudonyms"
-FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
+#: The setting that holds the key of the registered queries.
+KEY_SETTING = "spark.tallyloom.pseudonym.key"
+FIRST_YEAR, LAST_YEAR = 1900, 2099
 MEMO_ENTRIES = 200_000
 
-#: Kinds and how they look; the first that matches at a place is tried.
+#: Kinds and how they look; the first that matches at a place is tried. The parts of an address have the lengths that they
+#: may have, so that no place in a long token is looked at more than so many times.
 LOOKS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}",
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.){1,30}[A-Za-z]{2,63}",
     "credential": r"\bAKIA[0-9A-Z]{16}\b|(?i:(?<=password=)|(?<=passwd=)|(?<=secret=)|(?<=api_key=)|(?<=token=))[0-9A-Za-z]{8,}|(?<== \")[0-9A-Fa-f]{32,64}(?=\")",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])",
@@ -47,7 +54,7 @@ _IN = {c: k for k in _CLASSES for c in k}
 class Permuter:
     """A keyed permutation of range(n) for any n and tweak."""
 
-    def __init__(self, key: bytes = DEFAULT_KEY):
+    def __init__(self, key: bytes):
         self.key = hashlib.blake2b(key, digest_size=32).digest()
 
     def _round(self, tweak: bytes, r: int, half: int, bits: int, back: bool = False) -> int:
@@ -71,6 +78,14 @@ class Permuter:
             if x < n:
                 return x
 
+    def within(self, x: int, n: int, tweak: str, inside) -> int:
+        """A permutation of those below n for which inside() holds, and of those for which it doesn't: walked until it is the same."""
+        side = inside(x)
+        while True:
+            x = self.permute(x, n, tweak)
+            if inside(x) == side:
+                return x
+
     def text(self, s: str, tweak: str) -> str:
         """Permute letters and digits within their classes; other characters, and the lay-out, stay."""
         x, n, places = 0, 1, []
@@ -107,7 +122,8 @@ def _card(s: str, p: Permuter) -> str | None:
     d = _digits(s)
     if luhn_digit(d[:-1]) != d[-1] or len(set(d)) == 1:
         return None
-    body = str(p.permute(int(d[:-1]), 10 ** (len(d) - 1), f"card{len(d)}")).zfill(len(d) - 1)
+    plain = lambda x: len(set(str(x).zfill(len(d) - 1) + luhn_digit(str(x)))) == 1
+    body = str(p.within(int(d[:-1]), 10 ** (len(d) - 1), f"card{len(d)}", plain)).zfill(len(d) - 1)
     return _into(s, body + luhn_digit(body))
 
 
@@ -120,29 +136,30 @@ def _ip(s: str, p: Permuter) -> str | None:
 
 
 def _ssn(s: str, p: Permuter) -> str | None:
-    valid = lambda d: d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
-    d = _digits(s)
-    if not valid(d):
-        return None
-    while True:
-        d = str(p.permute(int(d), 10**9, "ssn")).zfill(9)
-        if valid(d):
-            return _into(s, d)
+    def valid(x: int) -> bool:
+        d = str(x).zfill(9)
+        return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
+
+    x = int(_digits(s))
+    return _into(s, str(p.within(x, 10**9, "ssn", valid)).zfill(9)) if valid(x) else None
+
+
+#: Country calling codes of one and two digits; all others have three. Fixed values of the numbering plan.
+_ONE, _TWO = frozenset("17"), frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 
 def _phone(s: str, p: Permuter) -> str | None:
-    country = re.match(r"\+[0-9]{1,3}(?=[ .\-(])", s)
-    head = country[0] if country else "+" if s[0] == "+" else ""
-    rest = s[len(head) :]
-    d = _digits(rest)
-    if not 7 <= len(d) + len(_digits(head)) <= 15 or len(d) < 6:
+    d = _digits(s)
+    code = "1"
+    if s[0] == "+":
+        code = d[:1] if d[0] in _ONE else d[:2] if d[:2] in _TWO else d[:3]
+        d = d[len(code) :]
+    if not 7 <= len(d) + len(code) <= 15 or len(d) < 6:
         return None
-    least = "2" if head == "+1" or not head else "0"
-    first = d
-    while True:
-        d = str(p.permute(int(d), 10 ** len(d), f"phone{head}{len(first)}")).zfill(len(first))
-        if d[0] >= least or first[0] < least:
-            return head + _into(rest, d)
+    plan = code == "1" and len(d) == 10  # area and exchange don't begin with 0 or 1
+    usual = lambda x: plan and str(x).zfill(10)[0] >= "2" and str(x).zfill(10)[3] >= "2"
+    d = str(p.within(int(d), 10 ** len(d), f"phone{code}.{len(d)}", usual)).zfill(len(d))
+    return _into(s, code + d if s[0] == "+" else d)
 
 
 def _iban(s: str, p: Permuter) -> str | None:
@@ -156,39 +173,45 @@ def _iban(s: str, p: Permuter) -> str | None:
     return "".join(c if c == " " else next(it) for c in s)
 
 
+@functools.cache
+def _late_days() -> tuple[list[int], dict[int, int]]:
+    """The days of the years that are known whose day of the month is above 12, as ordinals, and their places in that list."""
+    days = [n for n in range(dt.date(FIRST_YEAR, 1, 1).toordinal(), dt.date(LAST_YEAR, 12, 31).toordinal() + 1) if dt.date.fromordinal(n).day > 12]
+    return days, {n: i for i, n in enumerate(days)}
+
+
 def _date(s: str, p: Permuter) -> str | None:
+    """Days up to the 12th, whose day and month can be taken for each other, are permuted apart from later ones.
+
+    Where both readings of a date are days, its first number is the day.
+    """
     parts = re.split(r"[/.\-]", s)
     sep = s[len(parts[0])]
-
-    def day(parts: list[str]) -> tuple[str, int] | None:
-        orders = [("ymd", (0, 1, 2))] if len(parts[0]) == 4 else [("dmy", (2, 1, 0)), ("mdy", (2, 0, 1))]
-        for name, (y, m, d) in orders:
-            try:
-                n = dt.date(int(parts[y]), int(parts[m]), int(parts[d])).toordinal()
-            except ValueError:
-                continue
-            if FIRST_DAY <= n <= LAST_DAY:
-                return name, n
-        return None
-
-    known = day(parts)
-    if known is None:
+    for y, m, d in [(0, 1, 2)] if len(parts[0]) == 4 else [(2, 1, 0), (2, 0, 1)]:
+        try:
+            at = dt.date(int(parts[y]), int(parts[m]), int(parts[d]))
+        except ValueError:
+            continue
+        if FIRST_YEAR <= at.year <= LAST_YEAR:
+            break
+    else:
         return None
-    order, n = known
-    while True:  # until it has the same order and widths again
-        n = FIRST_DAY + p.permute(n - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, f"date{order}")
-        at = dt.date.fromordinal(n)
-        fields = {"y": str(at.year), "m": str(at.month), "d": str(at.day)}
-        out = [fields[k].zfill(len(x)) for k, x in zip(order, parts)]
-        padded = all(len(x) == 1 or len(o) == len(x) for o, x in zip(out, parts))
-        if [len(x) for x in out] == [len(x) for x in parts] and padded and day(out) == (order, n):
-            return sep.join(out)
+    if at.day <= 12:
+        x = p.permute(((at.year - FIRST_YEAR) * 12 + at.month - 1) * 12 + at.day - 1, (LAST_YEAR - FIRST_YEAR + 1) * 144, "early")
+        at = dt.date(FIRST_YEAR + x // 144, x // 12 % 12 + 1, x % 12 + 1)
+    else:
+        days, place = _late_days()
+        at = dt.date.fromordinal(days[p.permute(place[at.toordinal()], len(days), "late")])
+    wide = 2 if min(map(len, parts)) == 2 else 1
+    out = {y: str(at.year), m: str(at.month).zfill(wide), d: str(at.day).zfill(wide)}
+    return sep.join(out[i] for i in range(3))
 
 
 def _email(s: str, p: Permuter) -> str:
-    local, _, domain = s.rpartition("@")
+    local, _, domain = s.lower().rpartition("@")
     name, _, top = domain.rpartition(".")
-    return f"{p.text(local, 'local')}@{p.text(name, 'domain')}.{top}"
+    new = f"{p.text(local, 'local')}@{p.text(name, 'domain')}.{top}"
+    return "".join(n.upper() if c.isupper() else n for n, c in zip(new, s))
 
 
 _MAKE = {"email": _email, "ip": _ip, "card": _card, "phone": _phone, "ssn": _ssn, "iban": _iban, "date": _date, "credential": lambda s, p: p.text(s[4:] if s.startswith("AKIA") else s, "credential") if not s.startswith("AKIA") else "AKIA" + p.text(s[4:], "akia")}
@@ -209,7 +232,7 @@ def _usual(kind: str, s: str) -> bool:
 
 
 class Pseudonymiser:
-    def __init__(self, key: bytes = DEFAULT_KEY):
+    def __init__(self, key: bytes):
         self.permuter = Permuter(key)
         self.memo: dict[tuple[str, str], str | None] = {}
 
@@ -287,11 +310,28 @@ class Pseudonymiser:
 _SPANS = "array<struct<kind:string,start:int,length:int>>"
 
 
-def pseudonymised(docs: DataFrame, *, text: str = "text", key: bytes = DEFAULT_KEY, spans: str | None = None) -> DataFrame:
+def key_of(spark) -> bytes:
+    """The key in KEY_SETTING; where that is unset, one drawn for this application, whose pseudonyms no other run can link."""
+    named = spark.conf.get(KEY_SETTING, None)
+    if named:
+        return named.encode()
+    return _drawn(spark.sparkContext.applicationId)
+
+
+@functools.cache
+def _drawn(application: str) -> bytes:
+    return secrets.token_bytes(32)
+
+
+def pseudonymised(docs: DataFrame, *, key: bytes, text: str = "text", spans: str | None = None) -> DataFrame:
     """docs with pseudonyms in text; all other columns stay. spans: also add a column of that name, the places in code points.
 
-    Null texts stay null, with no spans. Repeated rows get the same pseudonyms. No shuffle: a pass over the rows.
+    Null and empty texts stay as they are, with no spans. Texts of any length are read whole, in time that grows with their
+    length. Repeated rows get the same pseudonyms; where kinds tie at a place, the first in LOOKS is taken. A column that already
+    has the name in spans is replaced. An empty table gives an empty one. No shuffle: a pass over the rows.
     """
+    if spans is not None:
+        docs = docs.drop(spans)
     out = docs.schema if spans is None else docs.withColumn(spans, F.lit(None).cast(_SPANS)).schema
     at = docs.columns.index(text)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
@@ -307,9 +347,9 @@ def pseudonymised(docs: DataFrame, *, text: str = "text", key: bytes = DEFAULT_K
                 names.append(spans)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(workers.task(run), out)
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:
     docs = scratch.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymised(docs, spans="spans").withColumn("n_found", F.size("spans"))
+    return pseudonymised(docs, key=key_of(spark), spans="spans").withColumn("n_found", F.size("spans"))
