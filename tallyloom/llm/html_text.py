@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import scratch, workers
 from .html_tree import Page
 
 _TAGS = (("nav", "menu"), ("header",), ("footer",), ("aside",), ("form", "fieldset", "button"), ("article", "main"), ("section", "div", "center"), ("p",), tuple(f"h{i}" for i in range(1, 7)), ("ul", "ol", "dl"), ("li", "dt", "dd"), ("table", "tbody", "tr", "td", "th"), ("blockquote", "pre", "figure", "figcaption"), ("html", "body", "#page"))
@@ -142,14 +142,19 @@ def boost(x: np.ndarray, y: np.ndarray, *, trees: int = 50, depth: int = 4, rate
 # Training pages
 
 
-def _page(rng: np.random.Generator) -> str:
+def _letters(rng: np.random.Generator) -> str:
+    """Random letters that words are cut from."""
+    return "".join(rng.choice(list("aaabcdeeefghiiijklmnnooopprrsssttuuvwyéüß"), 50_000))
+
+
+def _page(rng: np.random.Generator, letters: str) -> str:
     """A page whose article parts carry the attribute data-keep and whose other parts carry data-drop."""
     pick = lambda *xs: xs[rng.integers(len(xs))]
     chance = lambda p: rng.random() < p
-    letters = np.array(list("aaabcdeeefghiiijklmnnooopprrsssttuuvwyéüß"))
 
     def word() -> str:
-        return "".join(rng.choice(letters, rng.integers(1, 12)))
+        at = int(rng.integers(len(letters) - 12))
+        return letters[at : at + int(rng.integers(1, 12))]
 
     noisy = chance(0.1)
 
@@ -273,7 +278,8 @@ def _labelled(html: str) -> tuple[np.ndarray, np.ndarray]:
 @functools.cache
 def trained(pages: int = 1200, seed: int = 11) -> Trees:
     rng = np.random.default_rng(seed)
-    made = [_labelled(_page(rng)) for _ in range(pages)]
+    letters = _letters(rng)
+    made = [_labelled(_page(rng, letters)) for _ in range(pages)]
     return boost(np.concatenate([x for x, _ in made]), np.concatenate([y for _, y in made]).astype(float))
 
 
@@ -324,7 +330,7 @@ def extracted(pages: DataFrame, *, html: str = "html", trees: Trees | None = Non
                 text = pa.array(main_texts(part.column(at).to_pylist(), sent.value), pa.string())
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in spots), text], names=[*names, "text"])
 
-    return pages.mapInArrow(run, pages.select(*names).withColumn("text", F.lit("")).schema)
+    return pages.mapInArrow(workers.task(run), pages.select(*names).withColumn("text", F.lit("")).schema)
 
 
 def op3_html(spark, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from html import unescape
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:\-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>|\Z)", re.S)
-_ATTR = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+# Quotes hold a value only after "=".
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:\-]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')|=)*)(>|\Z)", re.S)
+_ATTR = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 #: Elements whose text is never shown or never prose.
 SKIP = frozenset("script style template noscript iframe object svg canvas math head title textarea select datalist audio video".split())
@@ -15,7 +16,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br ruby rb rt rp input".split())
 #: A start tag ends an open element of the second set, up to one of the third.
 _P_ENDERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-_ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+_P_ENDS = (frozenset({"p"}), frozenset({"table", "td", "th", "button"}))
+_ENDS = {n: (frozenset(a.split()), frozenset(b.split())) for n, a, b in (("li", "li", "ul ol menu"), ("dt", "dt dd", "dl"), ("dd", "dt dd", "dl"), ("tr", "tr td th", "table"), ("td", "td th", "tr table"), ("th", "td th", "tr table"), ("option", "option", "select"))}
 
 
 class Page:
@@ -35,6 +37,8 @@ class Page:
 
     def _read(self, html: str) -> None:
         stack: list[tuple[str, int]] = [("#page", 0)]  # name, its node or that of the block around it
+        spots: dict[str, list[int]] = {"#page": [0]}  # where on the stack each name is open
+        unclosed: set[str] = set()  # skipped elements that no end tag follows any more
         node, link, total, at = 0, 0, 0, 0
         held: list[str] = []
         match, size = _TOKEN.match, len(html)
@@ -50,6 +54,7 @@ class Page:
             nonlocal node, link
             while len(stack) > k:
                 name, _ = stack.pop()
+                spots[name].pop()
                 if name == "a":
                     link -= 1
                 elif name not in INLINE:
@@ -57,6 +62,14 @@ class Page:
                     self.end[node] = total
                     node = stack[-1][1]
 
+        def push(name: str, at: int) -> None:
+            spots.setdefault(name, []).append(len(stack))
+            stack.append((name, at))
+
+        def last(names: frozenset[str]) -> int:
+            """The highest place on the stack of any of the names; -1 if none is open."""
+            return max((spots[x][-1] for x in names if spots.get(x)), default=-1)
+
         while at < size:
             lt = html.find("<", at)
             if lt < 0:
@@ -82,16 +95,16 @@ class Page:
                 continue
             name = name.lower()
             if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        pop(k)
-                        break
+                if spots.get(name):
+                    pop(spots[name][-1])
                 continue
             if name in SKIP:
                 if name not in INLINE:
                     held.append(" ")
                 if not m[3].endswith("/"):
-                    close = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+                    close = None if name in unclosed else re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+                    if close is None:
+                        unclosed.add(name)
                     at = close.end() if close else (size if name in _RAW else at)
                 continue
             if name in INLINE or name in VOID:
@@ -103,17 +116,14 @@ class Page:
                 elif name == "hr":
                     flush()
                 if name not in VOID and not m[3].endswith("/"):
-                    stack.append((name, node))
+                    push(name, node)
                     link += name == "a"
                 continue
             if name in _P_ENDERS or name in _ENDS:
-                ends, stops = _ENDS.get(name, ({"p"}, {"table", "td", "th", "button", "#page"}))
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in ends:
-                        pop(k)
-                        if name not in ("tr",):
-                            break
-                    elif stack[k][0] in stops:
+                ends, stops = _ENDS.get(name, _P_ENDS)
+                while (k := last(ends)) > max(last(stops), 0):
+                    pop(k)
+                    if name != "tr":
                         break
             flush()
             words: list[str] = []
@@ -130,7 +140,7 @@ class Page:
             node = len(self.tag) - 1
             if name in ("button",):
                 self.inputs[node] += 1
-            stack.append((name, node))
+            push(name, node)
         pop(1)
         flush()
         self.end[0] = total
