@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import scratch, workers
 
 BITS = 15
 ORDERS = (1, 2, 3)
@@ -118,33 +118,38 @@ def fold(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def sample(docs: DataFrame, per_lang: int) -> list[tuple[str, str]]:
+def sample(docs: DataFrame, per_lang: int, counts: DataFrame) -> list[tuple[str, str]]:
     """Up to per_lang labelled rows of each language outside the held-out fold: those whose ids have the least hashes.
 
-    The choice is made on ids alone; only the chosen rows' texts are read and sent.
+    counts: lang and count, a row for each language. The choice is made on ids alone; only the chosen ids' texts are read.
+    An id that repeats in a language counts once, by the text that has the least hash, however many rows it has.
     """
     from pyspark.sql import Window
 
-    free = docs.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull())
+    free = docs.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     hashed = free.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     # A bound on the hash leaves about four times the rows wanted of each language, so no language's rows are all sorted.
-    counts = hashed.groupBy("lang").count()
-    near = hashed.join(counts, "lang").where((F.col("h") / float(1 << 64) + 0.5) * F.col("count") <= 4 * per_lang + 40)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    ids = [r.doc_id for r in near.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id").distinct().collect()]
-    spark = docs.sparkSession
-    chosen = F.broadcast(spark.createDataFrame([(i,) for i in ids], "doc_id bigint"))
-    rows = free.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang").join(chosen, "doc_id").where("text is not null").collect()
-    return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id, r.lang, r.text))]
+    near = hashed.join(F.broadcast(counts), "lang").where((F.col("h") / float(1 << 64) + 0.5) * F.col("count") <= 4 * per_lang + 40)
+    near = near.groupBy("doc_id", "lang").agg(F.min("h").alias("h"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    chosen = near.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id", "lang")
+    # At most per_lang of each language.
+    rows = free.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))
+    return [(r.text, r.lang) for r in sorted(rows.select("doc_id", "lang", "x.text").collect(), key=lambda r: (r.doc_id, r.lang))]
 
 
 def identified(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score, from the text alone; a pass without a shuffle. The model's size is fixed by BITS and the languages."""
+    """docs with lang_pred and score, from the text alone; a pass without a shuffle. The model's size is fixed by BITS and the languages.
+
+    Nulls: a null text, and one without a letter, is und with score 0. Texts are read whole. Repeated rows get the same
+    result; of languages that tie the first by code point is taken. Columns of docs named lang_pred or score are replaced, all
+    others stay. An empty table gives an empty one.
+    """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
     out = docs.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0))
     at = docs.columns.index(text)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     spots = [docs.columns.index(c) for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,14 +159,16 @@ def identified(docs: DataFrame, model: Model, *, text: str = "text") -> DataFram
             cols = [batch.column(i) for i in spots] + [pa.array([g for g, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, out.select(*names, "lang_pred", "score").schema)
+    return docs.mapInArrow(workers.task(run), out.select(*names, "lang_pred", "score").schema)
 
 
 def train(docs: DataFrame, *, per_lang: int = 400, max_langs: int = 250) -> Model:
-    """Fit on a bounded sample: at most per_lang rows of each language. More languages than max_langs are an error."""
-    if docs.select("lang").where("lang is not null").distinct().limit(max_langs + 1).count() > max_langs:
+    """Fit on a bounded sample of doc_id, text, lang: at most per_lang rows of each language. More languages than max_langs are an error."""
+    free = docs.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull())
+    counts = scratch.stored(free.groupBy("lang").count(), "langs")
+    if not scratch.small_enough(counts, max_langs):
         raise ValueError(f"more than {max_langs} languages")
-    return fit(sample(docs, per_lang))
+    return fit(sample(docs, per_lang, counts))
 
 
 def op6_langid(spark, sf_dir: str) -> DataFrame:
