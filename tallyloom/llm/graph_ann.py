@@ -21,7 +21,8 @@ from . import scratch
 SHARD_ROWS = 8192
 DEGREE, BEAM, RELAX = 32, 96, 1.2
 SEARCH_BEAM = 192
-QUERY_BLOCK = 512
+#: Queries that a task searches a shard for, and those whose beams move in step.
+QUERY_BLOCK, IN_STEP = 65_536, 512
 
 
 def _beam(points: np.ndarray, edges: np.ndarray, entry: np.ndarray, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,35 +190,39 @@ def search(index: DataFrame, queries: DataFrame, *, k: int = 5, beam: int = SEAR
 
     Ties go to the smaller vec_id. Vectors of another length are no candidates. Repeated queries give one result.
     """
-    spark = queries.sparkSession
     own = queries.select("query_id", "vec", (F.length("vec") / 8).cast("int").alias("dim"))
     blocks = max(1, -(-own.count() // QUERY_BLOCK))
-    packed = own.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy("dim", "block").agg(F.sort_array(F.collect_list(F.struct("query_id", "vec"))).alias("q"))
-    jobs = index.join(packed, "dim").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "block")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = {c: batch.column(i)[r].as_py() for i, c in enumerate(batch.schema.names)}
-                exact = np.frombuffer(row["vectors"], "<f8").reshape(len(row["ids"]), -1)
-                norm = np.linalg.norm(exact, axis=1)
-                edges = np.frombuffer(row["edges"], "<i4").reshape(len(exact), -1)
-                q = np.frombuffer(b"".join(x["vec"] for x in row["q"]), "<f8").reshape(len(row["q"]), -1)
-                points = _unit(exact)
-                found, _ = _beam(points, edges, np.frombuffer(row["entry"], "<i4"), _unit(q), beam)
-                out: list[tuple[int, int, float]] = []
-                for j, x in enumerate(row["q"]):
-                    at = found[j][found[j] >= 0]
-                    score = (exact[at] @ q[j]) / (norm[at] * np.linalg.norm(q[j]))
-                    near = [(-s, i) for a, s in zip(at.tolist(), score.tolist()) for i in row["ids"][a] if i != x["query_id"]]
-                    out += [(x["query_id"], i, -s) for s, i in sorted(near)[:k]]
-                cols = list(zip(*out)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
+    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
+    # Queries go to the shards, which stay whole: a shard is copied once for QUERY_BLOCK queries, and a query once for SHARD_ROWS vectors.
+    asked = own.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple[int, int, float]] = []
+        if left.num_rows and right.num_rows:
+            row = left.slice(0, 1).to_pylist()[0]
+            exact = np.frombuffer(row["vectors"], "<f8").reshape(len(row["ids"]), -1)
+            norm = np.linalg.norm(exact, axis=1)
+            points, entry = _unit(exact), np.frombuffer(row["entry"], "<i4")
+            edges = np.frombuffer(row["edges"], "<i4").reshape(len(exact), -1)
+            for at in range(0, right.num_rows, IN_STEP):
+                part = right.slice(at, IN_STEP)
+                names = part.column("query_id").to_pylist()
+                q = np.frombuffer(b"".join(part.column("vec").to_pylist()), "<f8").reshape(len(names), -1)
+                found, _ = _beam(points, edges, entry, _unit(q), beam)
+                for j, name in enumerate(names):
+                    here = found[j][found[j] >= 0]
+                    score = (exact[here] @ q[j]) / (norm[here] * np.linalg.norm(q[j]))
+                    near = [(-s, i) for a, s in zip(here.tolist(), score.tolist()) for i in row["ids"][a] if i != name]
+                    out += [(name, i, -s) for s, i in sorted(near)[:k]]
+        cols = list(zip(*out)) or [[], [], []]
+        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    found = jobs.mapInArrow(run, "query_id bigint, vec_id bigint, score double").dropDuplicates(["query_id", "vec_id"])
+    met = held.groupBy("shard", "dim", "block").cogroup(asked.groupBy("shard", "dim", "block")).applyInArrow(run, "query_id bigint, vec_id bigint, score double")
+    found = met.dropDuplicates(["query_id", "vec_id"])
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
