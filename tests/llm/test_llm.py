@@ -34,7 +34,16 @@ def whole_ids(texts):
 def test_encoder_equals_library():
     texts = [*TEXTS, "a  b", " a", "a ", "tab\tx", "don't we'll 12,5. x,y", "end.\nNext, one.", "\n", ".", ",", "a\x00b c", "x y"]
     got = list(tokens.Encoder.of(tokens.tokenizer_path()).encode(texts))
-    assert got == [i.tobytes() for i in whole_ids(texts)]
+    assert [x.tobytes() for x in got] == [i.tobytes() for i in whole_ids(texts)]
+
+
+def test_encoder_equals_library_when_its_table_is_renewed(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_ENTRIES", 20)
+    monkeypatch.setattr(tokens, "CUT_BYTES", 200)
+    texts = [f"the word{i % 7} and Mot{i % 5}, été\nzwölf{i % 3}. end" for i in range(60)]
+    encoder = tokens.Encoder(tokens.tokenizer_path())
+    assert [x.tobytes() for x in encoder.encode(texts)] == [i.tobytes() for i in whole_ids(texts)]
+    assert len(encoder.memo) <= 60
 
 
 @pytest.mark.parametrize("kind", ["small", "large", "zeros", "mixed", "none", "one"])
@@ -62,6 +71,19 @@ def test_ids_file(spark, docs, empty, tmp_path):
     assert simple8b.read_ids(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_ids_file_of_many_blocks_and_shards(spark, tmp_path):
+    texts = [" ".join(f"w{i * j % 91}" for j in range(i % 40)) for i in range(300)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(5)
+    simple8b.write_ids(rows, str(tmp_path / "a"), shards=4, block_ids=500)
+    shape = spark.read.parquet(str(tmp_path / "a" / "blocks")).groupBy("shard").count().collect()
+    assert len(shape) > 2 and all(r["count"] > 2 for r in shape)
+    start = 0
+    for want, r in zip(whole_ids(texts), simple8b.read_ids(spark, str(tmp_path / "a"), with_ids=True).orderBy("doc_id").collect()):
+        ids = np.append(want, np.uint32(0)).astype("<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32, r.ids) == (start, len(ids), zlib.crc32(ids), ids.tolist())
+        start += len(ids)
+
+
 def test_packing(docs, empty):
     got = packing.pack_documents(docs).toPandas()
     ids = {i: [*x.tolist(), 2] for i, x in enumerate(whole_ids(TEXTS))}
@@ -77,25 +99,44 @@ def test_packing(docs, empty):
 def test_best_fit_tree_is_near_the_bound(spark):
     rng = np.random.default_rng(2)
     rows = spark.createDataFrame([(i, int(n)) for i, n in enumerate(rng.integers(1, 700, 3000))], "item bigint, length bigint")
-    got = packing.pack(rows, leaves=64, carry=50).toPandas()
+    got = packing.pack(rows, leaves=64).toPandas()
     used = got.groupby("sequence_id")["length"].sum()
     assert len(got) == 3000 and used.max() <= 1024 and len(used) <= 1.03 * -(-used.sum() // 1024)
 
 
+@pytest.mark.parametrize("kind", ["large", "halves", "few"])
+def test_bins_that_stay_behind_cost_no_sequence(spark, kind):
+    rng = np.random.default_rng(4)
+    lengths = {"large": rng.choice([600, 610, 380, 90], 4000, p=[0.7, 0.2, 0.05, 0.05]), "halves": rng.choice([513, 512, 511, 30], 3000), "few": np.array([1, 1023, 5])}[kind]
+    rows = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "item bigint, length bigint")
+    got = packing.pack(rows, leaves=16, fan_in=2).toPandas()
+    whole = packing.pack(rows, leaves=16, fan_in=2000).toPandas()  # one step up, with all bins
+    places = got.sort_values(["sequence_id", "offset"])
+    ends = places.groupby("sequence_id")["length"].cumsum()
+    assert (places.offset == ends - places.length).all() and ends.max() <= 1024 and len(got) == len(lengths)
+    assert got.sequence_id.nunique() <= whole.sequence_id.nunique() + 1
+
+
+def test_packing_refuses_what_does_not_fit(spark):
+    for length in (1025, None):
+        with pytest.raises(ValueError, match="capacity"):
+            packing.pack(spark.createDataFrame([(1, length)], "item bigint, length bigint"))
+
+
 def test_pseudonyms(docs, empty):
-    p = pii.Permuter()
+    p = pii.Permuter(b"k")
     for n in (2, 3, 1000):
         assert sorted(p.permute(i, n, "t") for i in range(n)) == list(range(n))
-    made = pii.Pseudonymiser()
+    made = pii.Pseudonymiser(b"k")
     raw = "call +1 (217) 555-0199, mail a.b@mail7.example.com, 4111111111111111 or 87.210.238.235 on 2024-02-29"
     text, spans = made.text(raw)
     assert [k for k, _, _ in spans] == ["phone", "email", "card", "ip", "date"] and not any(x in text for x in ("555-0199", "a.b@", "4111111111111111", "87.210.238.235", "2024-02-29"))
     card = next(text[a : a + n] for k, a, n in spans if k == "card")
-    assert pii.luhn_digit(card[:-1]) == card[-1] and made.text(raw) == pii.Pseudonymiser().text(raw)
+    assert pii.luhn_digit(card[:-1]) == card[-1] and made.text(raw) == pii.Pseudonymiser(b"k").text(raw)
     assert made.text("Version 2.0, 1234567812345678 and 2024-13-01") == ("Version 2.0, 1234567812345678 and 2024-13-01", [])
-    out = pii.pseudonymised(docs)
+    out = pii.pseudonymised(docs, key=b"k")
     assert out.columns == docs.columns and [r.text for r in out.collect()] == [r.text for r in docs.collect()]
-    assert pii.pseudonymised(empty, spans="found").count() == 0
+    assert pii.pseudonymised(empty, key=b"k", spans="found").count() == 0
 
 
 NUMBERS = {"us": "+1 (826) 555-4081", "de": "+49 30 1234567", "fr": "+33 1 23 45 67 89", "flat": "826-555-4081", "card": "4111 1111 1111 1111", "amex": "3782 822463 10005", "ip": "190.137.223.204", "date": "2024-05-06", "ssn": "123-45-6789", "iban": "DE89 3704 0044 0532 0130 00", "be": "BE68 5390 0754 7034"}
@@ -103,7 +144,7 @@ NUMBERS = {"us": "+1 (826) 555-4081", "de": "+49 30 1234567", "fr": "+33 1 23 45
 
 @pytest.mark.parametrize("names", [("us", "ip"), ("us", "us"), ("us", "date"), ("us", "card"), ("us", "ssn"), ("de", "ip"), ("de", "date"), ("de", "card"), ("de", "ssn"), ("de", "flat"), ("fr", "ip"), ("flat", "ip"), ("flat", "card"), ("card", "ip"), ("card", "date"), ("card", "card"), ("card", "us"), ("amex", "ip"), ("amex", "date"), ("iban", "ip"), ("be", "card"), ("be", "date"), ("us", "ip", "card", "date", "ssn")])
 def test_pseudonyms_of_neighbours(names):
-    made = pii.Pseudonymiser()
+    made = pii.Pseudonymiser(b"k")
     alone = [made.text(NUMBERS[k])[0] for k in names]
     assert all(a != NUMBERS[k] for a, k in zip(alone, names))
     assert made.text("x " + " ".join(NUMBERS[k] for k in names) + " y")[0] == "x " + " ".join(alone) + " y"
@@ -112,14 +153,14 @@ def test_pseudonyms_of_neighbours(names):
 @pytest.mark.parametrize("after", [" 12/25", " 123", " 7", " 10.0.0.1", "-12"])
 @pytest.mark.parametrize("name", ["card", "amex", "us"])
 def test_pseudonyms_before_other_digits(name, after):
-    made = pii.Pseudonymiser()
+    made = pii.Pseudonymiser(b"k")
     assert made.text(NUMBERS[name] + after)[0].startswith(made.text(NUMBERS[name])[0] + after[:1])
     assert made.text("12 " + NUMBERS[name])[0] == "12 " + made.text(NUMBERS[name])[0]
 
 
 def test_quoted_credentials():
     raw = 'key = "' + "0123456789ABCDEFabcdef0123456789" + '"'
-    assert [k for k, _, _ in pii.Pseudonymiser().text(raw)[1]] == ["credential"]
+    assert [k for k, _, _ in pii.Pseudonymiser(b"k").text(raw)[1]] == ["credential"]
 
 
 def test_main_text(spark):
@@ -237,42 +278,59 @@ def test_near_duplicates_against_brute_force(spark, docs, empty, monkeypatch):
     rows = list(enumerate([*rows, None, "", "a b", "A B", "a b c"]))
     table = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = brute_classes(rows)
-    for pairs in (jaccard_join.REGION_PAIRS, 30):  # the second sends crowds through all levels
+    for pairs, side in ((jaccard_join.REGION_PAIRS, jaccard_join.SIDE), (30, 16)):  # the second sends crowds through all levels, in blocks
         monkeypatch.setattr(jaccard_join, "REGION_PAIRS", pairs)
+        monkeypatch.setattr(jaccard_join, "SIDE", side)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(table).collect()}
         assert got == want
     kept = {r.doc_id for r in jaccard_join.one_of_each(docs).collect()}
     assert kept == {None, 0, 1, 2, 3, 4, 6, 8, 9, 10} - ({7} if want else set())
+    odd = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (2, "something else entirely", "z"), (2, "something else entirely", "w"), (3, None, "v"), (3, "", "u"), (4, " ", "t"), (None, "a b c d e f", "s")], "doc_id int, text string, gone string")
+    assert sorted(r.gone for r in jaccard_join.one_of_each(odd).collect() if r.gone not in "zwvu") == ["s", "t", "x"] and jaccard_join.one_of_each(odd).count() == 5
     assert jaccard_join.one_of_each(docs).where("doc_id = 0").count() == 1 and jaccard_join.classes(empty).count() == 0
 
 
 @pytest.mark.parametrize("dense", [4000, 0])
+@pytest.mark.parametrize("blocks", [1, 4])
 @pytest.mark.parametrize("known", [True, False])
-def test_crowd_leaves_out_only_pairs_that_cannot_link(monkeypatch, dense, known):
+def test_crowd_leaves_out_only_pairs_that_cannot_link(monkeypatch, dense, blocks, known):
     monkeypatch.setattr(jaccard_join, "DENSE", dense)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
     rng = np.random.default_rng(7)
     base = rng.integers(0, 10**9, 40)
     sets = [set(base[rng.random(40) < 0.9].tolist()) | set(rng.integers(0, 10**9, rng.integers(0, 6)).tolist()) for _ in range(60)]
     sizes, label = np.array([len(s) for s in sets]), np.arange(60) // 2
-    rows, shared = [], np.zeros(60, np.int64)
+    groups, shared = [], np.zeros(60, np.int64)
     for g in sorted(set().union(*sets)):
         who = np.array([i for i, s in enumerate(sets) if g in s])
         if len(set(label[who])) > 1:
-            rows.append((1, who, sizes[who], label[who]))
+            groups.append(who)
             shared[who] += 1
-    sight = (np.arange(60), shared, sizes) if known else None
+    shared = shared if known else sizes  # sizes: all that they could share
+    rows = [(1, np.stack([who, sizes[who], label[who], shared[who], sizes[who]])) for who in groups]
+
+    def counted(rows):
+        got = {}
+        for one in range(blocks):
+            for other in range(one, blocks):
+                some = [(m, x[:, np.isin(jaccard_join._sides(np.ascontiguousarray(x[0]), blocks), (one, other))]) for m, x in rows]
+                some = [(m, x) for m, x in some if x.shape[1]]
+                for batch in jaccard_join._count_crowd(some, (blocks, one, other)) if some else ():
+                    for r in batch.to_pylist():
+                        assert r["a"] < r["b"]
+                        got[r["a"], r["b"]] = got.get((r["a"], r["b"]), 0) + r["w"]
+        return got
+
     got = {}
     for part in (rows[::2], rows[1::2]):  # as when two tasks hold regions of one pair
-        for batch in jaccard_join._count_crowd(part, sight):
-            for r in batch.to_pylist():
-                got[r["a"], r["b"]] = got.get((r["a"], r["b"]), 0) + r["w"]
+        for k, w in counted(part).items():
+            got[k] = got.get(k, 0) + w
     pairs = {(i, j): len(sets[i] & sets[j]) for i in range(60) for j in range(i + 1, 60) if label[i] != label[j]}
     links = {p for p, w in pairs.items() if 175 * w >= 75 * (sizes[p[0]] + sizes[p[1]])}
     assert links and links < set(pairs) and all(got.get(p) == pairs[p] for p in links)
     assert {p for p, w in got.items() if 175 * w >= 75 * (sizes[p[0]] + sizes[p[1]])} == links
     if known:
-        whole = {(r["a"], r["b"]) for batch in jaccard_join._count_crowd(rows, sight) for r in batch.to_pylist()}
-        assert whole == links
+        assert set(counted(rows)) == links
 
 
 def test_components(spark):
