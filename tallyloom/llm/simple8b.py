@@ -23,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import small_batches
 from . import scratch, workers
 from .tokens import Encoder, tokenizer_path
 
@@ -130,7 +129,7 @@ def write_ids(docs: DataFrame, path: str, *, text: str = "text", doc_id: str = "
         names: list[int | None] = []
         kept: list[np.ndarray] = []
         size = 0
-        encoder, end = Encoder.of(file), np.array([end_id], "<u4")
+        encoder, end = Encoder.of(file, 800_000), np.array([end_id], "<u4")
 
         def closed() -> pa.RecordBatch:
             ids = np.concatenate(kept).astype(np.uint64)
@@ -155,8 +154,7 @@ def write_ids(docs: DataFrame, path: str, *, text: str = "text", doc_id: str = "
         if names:
             yield closed()
 
-    with small_batches(spark):
-        dealt.mapInArrow(workers.task(encode, "tokens", fast=True), _FORMAT).write.parquet(f"{path}/blocks")
+    dealt.mapInArrow(workers.task(encode, "tokens", fast=True), _FORMAT).write.parquet(f"{path}/blocks")
     blocks = spark.read.schema(_FORMAT).parquet(f"{path}/blocks")
     totals = sorted((r.shard, r.ids) for r in blocks.groupBy("shard").agg(F.sum("n_ids").alias("ids")).collect())  # a row for each task of the write
     before, index = 0, []
@@ -188,7 +186,7 @@ def read_ids(spark, path: str, *, with_ids: bool = False) -> DataFrame:
                     made["ids"] = pa.array([ids[a:b].astype(np.int64) for a, b in zip(cuts, ends)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_pydict(made)
 
-    return placed.mapInArrow(workers.task(decode, "tokens"), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids)
+    return placed.mapInArrow(workers.task(decode, "tokens", fast=True), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids)
 
 
 def op1_simple8b(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ MEMO_ENTRIES = 400_000
 #: Longer chunks are rare words or unspaced text and are not remembered.
 MEMO_BYTES = 40
 #: Text that is cut and gathered at once.
-CUT_BYTES = 4 << 20
+CUT_BYTES = 8 << 20
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

@@ -20,21 +20,22 @@ def keeps(name: str, clear: Callable[[], None]) -> None:
 
 
 def task(work: Callable[[Iterator], Iterator], name: str = "", *, fast: bool = False) -> Callable[[Iterator], Iterator]:
-    """work as a task of a name: what others keep is dropped before it, and what it has freed is given back after it.
+    """work as a task of a name: what others keep is dropped before it, and what it has freed is given back.
 
-    fast: freed arrays stay with the process until then, which saves some time.
+    fast: freed memory stays with the process, which saves some time.
     """
 
     def run(batches: Iterator) -> Iterator:
-        # Arrays of a megabyte or more are mapped on their own (-3 names that threshold), so that they go back when they are freed.
         if not fast:
+            # Arrays of a megabyte or more are mapped on their own (-3 names that threshold), so that they go back when they are freed.
             _c("mallopt", -3, 1 << 20)
-        pa.set_memory_pool(pa.system_memory_pool())
+            pa.set_memory_pool(pa.system_memory_pool())
         for other, clear in _kept.items():
             if other != name:
                 clear()
         yield from work(batches)
-        release()
+        if not fast:
+            release()
 
     return run
 
