@@ -465,6 +465,3 @@ def test_intermediate_tables(spark):
         with pytest.raises(Exception):
             df.count()
     storage.discard(stays)
-    spark.conf.set("spark.checkpoint.dir", "file:///tmp/shared/")
-    assert storage.shared_dir(spark) == "file:///tmp/shared"
-    spark.conf.unset("spark.checkpoint.dir")
