@@ -3,8 +3,8 @@
 Rows are dealt to shards of a bounded size by a hash. In a shard, every vector's greedy search from the entry point
 proposes neighbours; relaxed distance pruning keeps diverse edges, and edges are also put back from the neighbours.
 A beam search of each shard then answers the queries, in blocks, and the best of all shards, scored exactly on the
-original vectors, are the result. Equal vectors are one node that stands for all their ids, so copies, however
-many, neither fill the graph nor hide each other.
+original vectors, are the result. A node is a direction: vectors that point the same way, of whatever lengths, share one,
+and equal vectors are told once with all their ids, so neither, however many, fill the graph or hide each other.
 """
 
 from __future__ import annotations
@@ -130,6 +130,19 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
 
 
+def directions(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of vectors in which those of a direction, to about four digits, are together, and where each direction begins.
+
+    Directions are in the order of their first vectors.
+    """
+    _, first, which = np.unique(np.round(_unit(points) * 1e4).astype(np.int32), axis=0, return_index=True, return_inverse=True)
+    place = np.empty(len(first), np.int64)
+    place[np.argsort(first)] = np.arange(len(first))
+    which = place[which.ravel()]
+    order = np.argsort(which, kind="stable")
+    return order, np.searchsorted(which[order], np.arange(len(first))).astype(np.int64)
+
+
 def nodes_of(vectors: DataFrame, k: int) -> DataFrame:
     """Distinct vectors (dim, vec as little-endian doubles) and their k + 1 smallest ids, in rising order.
 
@@ -164,7 +177,11 @@ def nodes_of(vectors: DataFrame, k: int) -> DataFrame:
 
 
 def build_index(nodes: DataFrame, *, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """A row for each shard: shard, dim, vectors, ids, edges, entry. Every node is in one."""
+    """A row for each shard: shard, dim, vectors, ids, starts (of each node's vectors), edges, entry. Every vector is in one.
+
+    nodes: vec and ids. An empty table gives an index without shards, other columns play no part, vectors of any length are read
+    whole and form shards with their like.
+    """
     sized = nodes.select("vec", "ids", (F.length("vec") / 8).cast("int").alias("dim"))
     count = sized.count()
     shards = max(1, -(-count // shard_rows))
@@ -174,21 +191,24 @@ def build_index(nodes: DataFrame, *, shard_rows: int = SHARD_ROWS) -> DataFrame:
         vec = whole.column("vec").to_pylist()
         order = sorted(range(len(vec)), key=vec.__getitem__)
         points = np.frombuffer(b"".join(vec[i] for i in order), "<f8").reshape(len(vec), -1)
-        edges, entry = build(_unit(points))
+        by, starts = directions(points)
+        order, points = [order[i] for i in by], points[by]
+        edges, entry = build(_unit(points[starts]))
         ids = [whole.column("ids")[i].as_py() for i in order]
         return pa.table({
             "shard": pa.array([key[0].as_py()], pa.int32()), "dim": pa.array([key[1].as_py()], pa.int32()), "vectors": pa.array([points.tobytes()], pa.binary()), "ids": pa.array([ids], pa.list_(pa.list_(pa.int64()))),
-            "edges": pa.array([edges.astype("<i4").tobytes()], pa.binary()), "entry": pa.array([entry.astype("<i4").tobytes()], pa.binary()),
+            "starts": pa.array([starts.astype("<i8").tobytes()], pa.binary()), "edges": pa.array([edges.astype("<i4").tobytes()], pa.binary()), "entry": pa.array([entry.astype("<i4").tobytes()], pa.binary()),
         })
 
-    schema = "shard int, dim int, vectors binary, ids array<array<bigint>>, edges binary, entry binary"
+    schema = "shard int, dim int, vectors binary, ids array<array<bigint>>, starts binary, edges binary, entry binary"
     return scratch.stored(dealt.groupBy("shard", "dim").applyInArrow(graph, schema), "graph")
 
 
 def search(index: DataFrame, queries: DataFrame, *, k: int = 5, beam: int = SEARCH_BEAM) -> DataFrame:
     """queries (query_id, vec) against all shards: query_id, rank, vec_id, score. A query's own id is no candidate.
 
-    Ties go to the smaller vec_id. Vectors of another length are no candidates. Repeated queries give one result.
+    Ties go to the smaller vec_id. Vectors of another length are no candidates. Repeated queries give one result. An empty index,
+    or no queries, gives no rows; other columns of queries play no part.
     """
     own = queries.select("query_id", "vec", (F.length("vec") / 8).cast("int").alias("dim"))
     blocks = max(1, -(-own.count() // QUERY_BLOCK))
@@ -203,15 +223,18 @@ def search(index: DataFrame, queries: DataFrame, *, k: int = 5, beam: int = SEAR
             row = left.slice(0, 1).to_pylist()[0]
             exact = np.frombuffer(row["vectors"], "<f8").reshape(len(row["ids"]), -1)
             norm = np.linalg.norm(exact, axis=1)
-            points, entry = _unit(exact), np.frombuffer(row["entry"], "<i4")
-            edges = np.frombuffer(row["edges"], "<i4").reshape(len(exact), -1)
+            starts = np.append(np.frombuffer(row["starts"], "<i8"), len(exact))
+            points, entry = _unit(exact[starts[:-1]]), np.frombuffer(row["entry"], "<i4")
+            edges = np.frombuffer(row["edges"], "<i4").reshape(len(points), -1)
             for at in range(0, right.num_rows, IN_STEP):
                 part = right.slice(at, IN_STEP)
                 names = part.column("query_id").to_pylist()
                 q = np.frombuffer(b"".join(part.column("vec").to_pylist()), "<f8").reshape(len(names), -1)
                 found, _ = _beam(points, edges, entry, _unit(q), beam)
                 for j, name in enumerate(names):
-                    here = found[j][found[j] >= 0]
+                    node = found[j][found[j] >= 0]
+                    size = starts[node + 1] - starts[node]
+                    here = np.repeat(starts[node] - np.cumsum(size) + size, size) + np.arange(size.sum())  # all vectors of the nodes
                     score = (exact[here] @ q[j]) / (norm[here] * np.linalg.norm(q[j]))
                     near = [(-s, i) for a, s in zip(here.tolist(), score.tolist()) for i in row["ids"][a] if i != name]
                     out += [(name, i, -s) for s, i in sorted(near)[:k]]

@@ -9,11 +9,13 @@ from html import unescape
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:\-]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')|=)*)(>|\Z)", re.S)
 _ATTR = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
-#: Elements whose text is never shown or never prose.
-SKIP = frozenset("script style template noscript iframe object svg canvas math head title textarea select datalist audio video".split())
-_RAW = frozenset("script style textarea title iframe noscript template".split())
+#: Elements whose text is never shown, or is a form's.
+SKIP = frozenset("script style template iframe head title textarea select datalist annotation annotation-xml".split())
+_RAW = frozenset("script style textarea title iframe template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br ruby rb rt rp input".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br ruby rb rt rp input math svg object canvas audio video noscript".split())
+#: Inside these all elements are inline but those that end them.
+_DRAWN = frozenset(("math", "svg"))
 #: A start tag ends an open element of the second set, up to one of the third.
 _P_ENDERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _P_ENDS = (frozenset({"p"}), frozenset({"table", "td", "th", "button"}))
@@ -36,7 +38,7 @@ class Page:
         self._read(html)
 
     def _read(self, html: str) -> None:
-        stack: list[tuple[str, int]] = [("#page", 0)]  # name, its node or that of the block around it
+        stack: list[tuple[str, int, bool]] = [("#page", 0, False)]  # name, its node or that of the block around it, whether it is inline
         spots: dict[str, list[int]] = {"#page": [0]}  # where on the stack each name is open
         unclosed: set[str] = set()  # skipped elements that no end tag follows any more
         node, link, total, at = 0, 0, 0, 0
@@ -53,18 +55,18 @@ class Page:
         def pop(k: int) -> None:
             nonlocal node, link
             while len(stack) > k:
-                name, _ = stack.pop()
+                name, _, inline = stack.pop()
                 spots[name].pop()
                 if name == "a":
                     link -= 1
-                elif name not in INLINE:
+                elif not inline:
                     flush()
                     self.end[node] = total
                     node = stack[-1][1]
 
-        def push(name: str, at: int) -> None:
+        def push(name: str, at: int, inline: bool) -> None:
             spots.setdefault(name, []).append(len(stack))
-            stack.append((name, at))
+            stack.append((name, at, inline))
 
         def last(names: frozenset[str]) -> int:
             """The highest place on the stack of any of the names; -1 if none is open."""
@@ -107,7 +109,11 @@ class Page:
                         unclosed.add(name)
                     at = close.end() if close else (size if name in _RAW else at)
                 continue
-            if name in INLINE or name in VOID:
+            drawn = last(_DRAWN)
+            if drawn > 0 and name in _P_ENDERS:  # a block ends a drawing
+                pop(drawn)
+                drawn = -1
+            if name in INLINE or name in VOID or drawn > 0:
                 self.inner[node] += 1
                 if name == "input":
                     self.inputs[node] += 1
@@ -116,7 +122,7 @@ class Page:
                 elif name == "hr":
                     flush()
                 if name not in VOID and not m[3].endswith("/"):
-                    push(name, node)
+                    push(name, node, True)
                     link += name == "a"
                 continue
             if name in _P_ENDERS or name in _ENDS:
@@ -140,7 +146,7 @@ class Page:
             node = len(self.tag) - 1
             if name in ("button",):
                 self.inputs[node] += 1
-            push(name, node)
+            push(name, node, False)
         pop(1)
         flush()
         self.end[0] = total

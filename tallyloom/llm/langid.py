@@ -6,20 +6,20 @@ rows kept out of the training. N-grams of one to three lower-case letters, with
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch, workers
+from . import samples, scratch, workers
 
 BITS = 15
 ORDERS = (1, 2, 3)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _MULT = np.uint32(2654435761)
 
 
@@ -67,12 +67,12 @@ class Model:
         return self.langs[k], float(p[k] / p.sum())
 
 
-def fit(rows: list[tuple[str, str]], *, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 7) -> Model:
-    """FTRL-proximal over the rows (text, lang); every fifth row calibrates the temperature instead."""
+def fit(rows: list[tuple[str | tuple[np.ndarray, np.ndarray], str]], *, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 7) -> Model:
+    """FTRL-proximal over the rows (text, or its features, and lang); every fifth row calibrates the temperature instead."""
     langs = sorted({lang for _, lang in rows})
     rng = np.random.default_rng(seed)
     rows = [rows[i] for i in rng.permutation(len(rows))]
-    seen = [(features(t), langs.index(lang)) for t, lang in rows]
+    seen = [(features(x) if isinstance(x, str) else x, langs.index(lang)) for x, lang in rows]
     train, check = [r for i, r in enumerate(seen) if i % 5], seen[::5]
     df = np.bincount(np.concatenate([at for (at, _), _ in train] or [np.empty(0, np.int64)]).astype(np.int64), minlength=1 << BITS)
     model = Model(langs, np.log((1 + len(train)) / (1 + df)) + 1, np.zeros((1 << BITS, len(langs))), np.zeros(len(langs)))
@@ -113,29 +113,33 @@ def _loss(z: np.ndarray, y: np.ndarray) -> float:
     return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y]).mean())
 
 
-def fold(doc_id) -> F.Column:
-    """crc32 of the id as text, mod 5; 0 is held out. A null id is in no fold."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5
+def _sampled(docs: DataFrame, per_lang: int, counts: DataFrame) -> DataFrame:
+    """doc_id, lang, text of up to per_lang labelled ids of each language outside the held-out fold: those with the least hashes.
+
+    counts: lang and about how many distinct ids each has. The choice is made on ids alone; only the chosen ids' texts are read.
+    An id that repeats in a language counts once, by the text that has the least hash, however many rows it has.
+    """
+    free = docs.where((samples.fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    return samples.one_text(free, "lang", samples.chosen(free, "lang", per_lang, counts))
 
 
 def sample(docs: DataFrame, per_lang: int, counts: DataFrame) -> list[tuple[str, str]]:
-    """Up to per_lang labelled rows of each language outside the held-out fold: those whose ids have the least hashes.
+    """The texts and languages that are learned from."""
+    return [(r.text, r.lang) for r in sorted(_sampled(docs, per_lang, counts).collect(), key=lambda r: (r.doc_id, r.lang))]
 
-    counts: lang and count, a row for each language. The choice is made on ids alone; only the chosen ids' texts are read.
-    An id that repeats in a language counts once, by the text that has the least hash, however many rows it has.
-    """
-    from pyspark.sql import Window
 
-    free = docs.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    hashed = free.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    # A bound on the hash leaves about four times the rows wanted of each language, so no language's rows are all sorted.
-    near = hashed.join(F.broadcast(counts), "lang").where((F.col("h") / float(1 << 64) + 0.5) * F.col("count") <= 4 * per_lang + 40)
-    near = near.groupBy("doc_id", "lang").agg(F.min("h").alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = near.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id", "lang")
-    # At most per_lang of each language.
-    rows = free.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))
-    return [(r.text, r.lang) for r in sorted(rows.select("doc_id", "lang", "x.text").collect(), key=lambda r: (r.doc_id, r.lang))]
+def sample_features(docs: DataFrame, per_lang: int, counts: DataFrame) -> list[tuple[tuple[np.ndarray, np.ndarray], str]]:
+    """Their n-grams, counted where the texts are, so that what comes to the driver is bounded by BITS whatever the texts' length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [features(t.as_py()) for t in batch.column(2)]
+            ints = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in got], ints), pa.array([n for _, n in got], ints)], names=["doc_id", "lang", "at", "n"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    found = _sampled(docs, per_lang, counts).mapInArrow(workers.task(run), f"doc_id {kind}, lang string, at array<bigint>, n array<bigint>").collect()
+    return [((np.array(r["at"], np.int64), np.array(r.n, np.int64)), r.lang) for r in sorted(found, key=lambda r: (r.doc_id, r.lang))]
 
 
 def identified(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
@@ -164,16 +168,16 @@ def identified(docs: DataFrame, model: Model, *, text: str = "text") -> DataFram
 
 def train(docs: DataFrame, *, per_lang: int = 400, max_langs: int = 250) -> Model:
     """Fit on a bounded sample of doc_id, text, lang: at most per_lang rows of each language. More languages than max_langs are an error."""
-    free = docs.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull())
-    counts = scratch.stored(free.groupBy("lang").count(), "langs")
+    free = docs.where((samples.fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull())
+    counts = samples.classes_of(free, "lang")
     if not scratch.small_enough(counts, max_langs):
         raise ValueError(f"more than {max_langs} languages")
-    return fit(sample(docs, per_lang, counts))
+    return fit(sample_features(docs, per_lang, counts))
 
 
 def op6_langid(spark, sf_dir: str) -> DataFrame:
     """Nulls: a null text is und with score 0; a null lang is never learned from; a null doc_id isn't held out. An empty table gives none."""
     docs = scratch.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs)
-    held = docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "text")
+    held = docs.select("doc_id", F.coalesce(samples.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "text")
     return identified(held, model).select("doc_id", "held_out", "lang_pred", "score")

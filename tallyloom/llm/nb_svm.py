@@ -97,6 +97,31 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
+def descended(vectors: list[tuple[np.ndarray, np.ndarray, int]], bound: np.ndarray, rng: np.random.Generator, epochs: int, eps: float) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, bias and dual variables of the linear model with the least hinge loss and squared weights.
+
+    vectors: places, values and side (1 or -1) of each. One dual variable at a time moves to its best value between 0 and its
+    bound, until none moves the margin by eps in a round.
+    """
+    w, b, dual = np.zeros(1 << BITS), 0.0, np.zeros(len(vectors))
+    square = [float(x @ x) + 1 for _, x, _ in vectors]
+    for _ in range(epochs):
+        worst = 0.0
+        for i in rng.permutation(len(vectors)):
+            at, x, y = vectors[i]
+            slope = y * (w[at] @ x + b) - 1
+            new = min(max(dual[i] - slope / square[i], 0.0), bound[i])
+            step = new - dual[i]
+            if step:
+                w[at] += step * y * x
+                b += step * y
+                dual[i] = new
+                worst = max(worst, abs(step) * square[i])
+        if worst < eps:
+            break
+    return w, b, dual
+
+
 def fit(rows: list[tuple[np.ndarray, int]], *, shares: tuple[float, float] = (0.5, 0.5), c: float = 1.0, smooth: float = 1.0, blend: float = 0.25, epochs: int = 60, eps: float = 0.01, seed: int = 7) -> Model:
     """From n-grams and class (0 or 1) of each row; every fifth row of a class fits the curve instead.
 
@@ -119,23 +144,8 @@ def fit(rows: list[tuple[np.ndarray, int]], *, shares: tuple[float, float] = (0.
     ratio = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
     size = [sum(y == k for _, y in train) for k in (0, 1)]
     vectors = [(at, ratio[at] / (len(at) or 1) ** 0.5, 2 * y - 1) for at, y in train]
-    w, b, dual = np.zeros(1 << BITS), 0.0, np.zeros(len(vectors))
-    square = np.array([x @ x + 1 for _, x, _ in vectors])
     bound = np.array([c * len(train) / (2 * size[y > 0]) for _, _, y in vectors])
-    for _ in range(epochs):
-        worst = 0.0
-        for i in rng.permutation(len(vectors)):
-            at, x, y = vectors[i]
-            slope = y * (w[at] @ x + b) - 1
-            new = min(max(dual[i] - slope / square[i], 0.0), bound[i])
-            step = new - dual[i]
-            if step:
-                w[at] += step * y * x
-                b += step * y
-                dual[i] = new
-                worst = max(worst, abs(step) * square[i])
-        if worst < eps:
-            break
+    w, b, _ = descended(vectors, bound, rng, epochs, eps)
     used = np.flatnonzero(count[0] + count[1] > 2 * smooth)
     mean = float(np.abs(w[used]).mean())
     model = Model(np.where(count[0] + count[1] > 2 * smooth, ratio * ((1 - blend) * mean + blend * w), 0.0), blend * b)

@@ -16,6 +16,8 @@ import functools
 import hashlib
 import re
 import secrets
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,21 +31,25 @@ ROUNDS = 8
 KEY_SETTING = "spark.tallyloom.pseudonym.key"
 FIRST_YEAR, LAST_YEAR = 1900, 2099
 MEMO_ENTRIES = 200_000
+#: Characters that are permuted together.
+PIECE = 64
 
-#: Kinds and how they look; the first that matches at a place is tried. The parts of an address have the lengths that they
-#: may have, so that no place in a long token is looked at more than so many times.
+#: Kinds besides addresses and how they look; the first that matches at a place is tried, an address before all of them.
 LOOKS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.){1,30}[A-Za-z]{2,63}",
     "credential": r"\bAKIA[0-9A-Z]{16}\b|(?i:(?<=password=)|(?<=passwd=)|(?<=secret=)|(?<=api_key=)|(?<=token=))[0-9A-Za-z]{8,}|(?<== \")[0-9A-Fa-f]{32,64}(?=\")",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])",
-    "date": r"(?<![0-9/.\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}(?P<sep>[/.\-])[0-9]{1,2}(?P=sep)[0-9]{4})(?![0-9])(?![/.\-][0-9])",
+    "date": r"(?<![0-9/.\-])(?:[0-9]{4}(?P<first>[/.\-])[0-9]{2}(?P=first)[0-9]{2}|[0-9]{1,2}(?P<sep>[/.\-])[0-9]{1,2}(?P=sep)[0-9]{4})(?![0-9])(?![/.\-][0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "card": r"(?<![0-9+])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
-    "phone": r"(?<![0-9])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,5}){2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9\-.])[0-9]{3}(?P<mark>[.\-])[0-9]{3}(?P=mark)[0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,5}){2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9\-.])(?:1(?P<lead>[ .\-]))?[0-9]{3}(?P<mark>[.\-])[0-9]{3}(?P=mark)[0-9]{4}(?![0-9])|(?<![0-9])\(0[0-9]{1,4}\) ?[0-9]{3,4}[ .\-]?[0-9]{3,4}(?![0-9])",
 }
+#: What an address's first part is made of, and what follows its @. The first part is found from the @ on backwards, whatever its length.
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.){1,30}[A-Za-z]{2,63}")
 _LOOK = re.compile("|".join(f"(?P<{k}>{v})" for k, v in LOOKS.items()))
 _AT = {k: re.compile(v) for k, v in LOOKS.items()}
+_LATER = {k: list(LOOKS)[i + 1 :] for i, k in enumerate(LOOKS)}
 #: Kinds whose match may run on into what follows, and the separators of their groups.
 _GROUPED = {"iban": " ", "card": " -", "phone": " .-"}
 _MAYBE = re.compile(r"[0-9@]|AKIA|(?i:password=|passwd=|secret=|api_key=|token=)")
@@ -87,7 +93,16 @@ class Permuter:
                 return x
 
     def text(self, s: str, tweak: str) -> str:
-        """Permute letters and digits within their classes; other characters, and the lay-out, stay."""
+        """Permute letters and digits within their classes; other characters, and the lay-out, stay.
+
+        What is longer than PIECE is permuted piece by piece, each under what comes before it, in time that grows with the length.
+        """
+        if len(s) > PIECE:
+            before, out = hashlib.blake2b(digest_size=16), []
+            for at in range(0, len(s), PIECE):
+                out.append(self.text(s[at : at + PIECE], f"{tweak}|{before.hexdigest()}" if at else tweak))
+                before.update(s[at : at + PIECE].encode())
+            return "".join(out)
         x, n, places = 0, 1, []
         for i, c in enumerate(s):
             if c in _IN:
@@ -109,6 +124,33 @@ def luhn_digit(body: str) -> str:
     return str(-total % 10)
 
 
+class _Run:
+    """A run of digits with at most one separator between two of them, and sums over its digits from which check digits are told."""
+
+    LOOK = re.compile(r"[0-9](?:[ \-]?[0-9])*")
+
+    def __init__(self, text: str, at: int):
+        m = self.LOOK.match(text, at)
+        self.start, self.end = m.span()
+        self.place, self.sums = array("q"), (array("q", [0]), array("q", [0]))  # with the digits at even places doubled, and with those at odd ones
+        for i in range(self.start, self.end):
+            if (d := ord(text[i]) - 48) >= 0:
+                n, twice = len(self.place), 2 * d if d < 5 else 2 * d - 9
+                self.sums[n % 2].append(self.sums[n % 2][n] + twice)
+                self.sums[1 - n % 2].append(self.sums[1 - n % 2][n] + d)
+                self.place.append(i)
+
+    def ends(self, at: int, stop: int) -> list[int]:
+        """Ends, up to stop, of what starts at a digit, ends at a separator or at stop, and has a check digit; the longest first."""
+        j = bisect_left(self.place, at)
+        out = []
+        for k in range(min(j + 19, len(self.place)), j + 12, -1):
+            end, sums = self.place[k - 1] + 1, self.sums[k % 2]
+            if end <= stop and (sums[k] - sums[j]) % 10 == 0 and (end == stop or self.place[k] > end):
+                out.append(end)
+        return out
+
+
 def _into(shape: str, digits: str) -> str:
     it = iter(digits)
     return "".join(next(it) if c.isdigit() else c for c in shape)
@@ -150,16 +192,16 @@ _ONE, _TWO = frozenset("17"), frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44
 
 def _phone(s: str, p: Permuter) -> str | None:
     d = _digits(s)
-    code = "1"
-    if s[0] == "+":
-        code = d[:1] if d[0] in _ONE else d[:2] if d[:2] in _TWO else d[:3]
+    code, said = "1", s[0] == "+" or (s[0] == "1" and len(d) == 11) or s[:2] == "(0"
+    if said:  # a national number's 0 stands where a code would
+        code = d[:1] if d[0] in _ONE or d[0] == "0" else d[:2] if d[:2] in _TWO else d[:3]
         d = d[len(code) :]
     if not 7 <= len(d) + len(code) <= 15 or len(d) < 6:
         return None
     plan = code == "1" and len(d) == 10  # area and exchange don't begin with 0 or 1
     usual = lambda x: plan and str(x).zfill(10)[0] >= "2" and str(x).zfill(10)[3] >= "2"
     d = str(p.within(int(d), 10 ** len(d), f"phone{code}.{len(d)}", usual)).zfill(len(d))
-    return _into(s, code + d if s[0] == "+" else d)
+    return _into(s, code + d if said else d)
 
 
 def _iban(s: str, p: Permuter) -> str | None:
@@ -231,10 +273,26 @@ def _usual(kind: str, s: str) -> bool:
     return d[0] in "23456" and len(d) == (15 if d[:2] in ("34", "37") else 14 if d[:2] in ("30", "36", "38") else 16)
 
 
+def _address(text: str, least: int, at: int) -> tuple[int, int, int] | None:
+    """Start, end and @ of the first address that has its @ at a place or later and doesn't begin before least."""
+    while (k := text.find("@", at)) >= 0:
+        at = k + 1
+        start = k
+        while start > least and text[start - 1] in _LOCAL:
+            start -= 1
+        while start < k and not text[start].isalnum():
+            start += 1
+        if start < k and (m := _DOMAIN.match(text, at)):
+            return start, m.end(), k
+        least = at
+    return None
+
+
 class Pseudonymiser:
     def __init__(self, key: bytes):
         self.permuter = Permuter(key)
         self.memo: dict[tuple[str, str], str | None] = {}
+        self.run: _Run | None = None  # the one in the text at hand
 
     def _made(self, kind: str, found: str) -> str | None:
         was = (kind, found)
@@ -252,17 +310,23 @@ class Pseudonymiser:
         ends = [i for i in range(len(found) - 1, 6, -1) if found[i] in seps and found[i - 1] not in seps]
         return [x for x in (found, *(found[:i] for i in ends)) if (x is found or _AT[kind].fullmatch(x)) and self._made(kind, x) is not None]
 
+    def _cards(self, text: str, at: int, stop: int) -> list[str]:
+        """_valid() of a match for a card; what digits beside it share is worked out once."""
+        if self.run is None or not self.run.start <= at < self.run.end:
+            self.run = _Run(text, at)
+        return [x for end in self.run.ends(at, stop) if self._made("card", x := text[at:end]) is not None]
+
     def _other(self, text: str, at: int) -> bool:
         """Whether a valid number of any kind starts at a place."""
         return any((m := _AT[k].match(text, at)) and self._valid(k, m[0]) for k in ("ip", "date", "ssn", "phone")) or self._card_at(text, at)
 
     def _card_at(self, text: str, at: int) -> bool:
         m = _AT["card"].match(text, at)
-        return m is not None and any(_usual("card", x) for x in self._valid("card", m[0]))
+        return m is not None and any(_usual("card", x) for x in self._cards(text, at, m.end()))
 
     def _pick(self, kind: str, text: str, m: re.Match) -> str | None:
         """What of a match is the value: a usual length, else what ends before another number, else the longest valid part."""
-        valid = self._valid(kind, m[0])
+        valid = self._cards(text, *m.span()) if kind == "card" else self._valid(kind, m[0])
         if kind not in _GROUPED or not valid:
             return valid[0] if valid else None
         for x in valid:
@@ -281,29 +345,45 @@ class Pseudonymiser:
         """The text with pseudonyms, and (kind, start, length) of each in it; what fails validation stays as it is.
 
         A number plan is known for +1 alone: after other phones, digits of no known kind count as theirs, up to 15 in all.
+        Days from FIRST_YEAR to LAST_YEAR are known, so other dates stay as they are; so do numbers that no kind's form fits.
         """
         if not _MAYBE.search(text):
             return text, []
-        out, spans, at, size, pos = [], [], 0, 0, 0
-        while m := _LOOK.search(text, pos):
-            kind = next(k for k in LOOKS if m[k] is not None)
+        out, spans, at, size, pos, self.run = [], [], 0, 0, 0, None
+        mail, m = _address(text, 0, 0), _LOOK.search(text, 0)
+        while True:
+            if mail and mail[0] < pos:
+                mail = _address(text, pos, max(mail[2], pos))
+            if m and m.start() < pos:
+                m = _LOOK.search(text, pos)
+            if not mail and not m:
+                break
+            if mail and (not m or mail[0] <= m.start()):
+                start, end, _ = mail
+                new = self._made("email", text[start:end])
+                out += [text[at:start], new]
+                size += start - at
+                spans.append(("email", size, len(new)))
+                size += len(new)
+                at = pos = end
+                continue
+            kind, start, end = m.lastgroup, *m.span()  # the group that ends last holds the others
             found = self._pick(kind, text, m)
             if found is None:  # another kind at the same place
-                kinds = list(LOOKS)
-                for kind in kinds[kinds.index(kind) + 1 :]:
-                    if (other := _AT[kind].match(text, m.start())) and (found := self._pick(kind, text, other)) is not None:
+                for kind in _LATER[kind]:
+                    if (other := _AT[kind].match(text, start)) and (found := self._pick(kind, text, other)) is not None:
                         break
             if found is None:
-                pos = m.start() + 1
-                while pos < m.end() and text[pos - 1].isalnum() and text[pos].isalnum():  # on to the next part
+                pos = start + 1
+                while pos < end and text[pos - 1].isalnum() and text[pos].isalnum():  # on to the next part
                     pos += 1
                 continue
             new = self._made(kind, found)
-            out += [text[at : m.start()], new]
-            size += m.start() - at
+            out += [text[at:start], new]
+            size += start - at
             spans.append((kind, size, len(new)))
             size += len(new)
-            at = pos = m.start() + len(found)
+            at = pos = start + len(found)
         return "".join([*out, text[at:]]), spans
 
 
