@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
 
+from . import distances
+
 MOVE = "struct<move_num:bigint,color:string,from:string,to:string>"
 #: Fixed patterns of a move in a table, in a compact cell, and in a model's text from the most explicit on.
 TABLE_ROW = r"(?im)^[ \t]*(\d+)\s+(white|black)\s+([a-h][1-8])\s+([a-h][1-8])\s*$"
@@ -60,22 +62,7 @@ def strict(truth: Column, found: Column) -> Column:
 
 def aligned(truth: list[str], found: list[str]) -> list[tuple[int, int]]:
     """A longest common subsequence as index pairs. Walking back, equal keys pair up; else a row up wins ties."""
-    n, m = len(truth), len(found)
-    ids = {k: i for i, k in enumerate(dict.fromkeys([*truth, *found]))}
-    t, f = np.array([ids[k] for k in truth], int), np.array([ids[k] for k in found], int)
-    best = np.zeros((n + 1, m + 1), np.int32)
-    for i in range(n):  # within a row, taking the best so far from the left is a running maximum
-        best[i + 1, 1:] = np.maximum.accumulate(np.where(f == t[i], best[i, :-1] + 1, best[i, 1:]))
-    out, i, j = [], n, m
-    while i and j:
-        if t[i - 1] == f[j - 1]:
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif best[i - 1, j] >= best[i, j - 1]:
-            i -= 1
-        else:
-            j -= 1
-    return out[::-1]
+    return distances.common(truth, found)
 
 
 @F.pandas_udf(StructType().add("loose", DoubleType()).add("hybrid", DoubleType()).add("matched", LongType()))

@@ -7,7 +7,9 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, StringType
+
+from . import distances
 
 ARTICLES = ("a", "an", "the")
 
@@ -113,47 +115,24 @@ def with_grams(rows: DataFrame, ref: str, hyp: str, max_n: int = 4) -> tuple[Dat
     return out, [(F.col(f"_r{n}"), F.col(f"_h{n}")) for n in range(1, max_n + 1)]
 
 
+#: Characters of the longer text from which a pair's distance is worked out by bits; the built-in one takes a step for each pair of characters.
+LONG = 2000
+
+
 def char_similarity(a: Column, b: Column) -> Column:
     """Of two normalised texts."""
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - F.levenshtein(a, b) / longest))
-
-
-#: Distinct words of a pair that get a character each.
-SIGNS = 35_000
-
-
-@F.pandas_udf(IntegerType())
-def _word_edits(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    """Word edits of two token arrays, a row of the distances at a time; null stays null."""
-    import numpy as np
-
-    def one(a, b) -> int | None:
-        if a is None or b is None:
-            return None
-        known: dict[str, int] = {}
-        a, b = (np.array([known.setdefault(w, len(known)) for w in x], np.int64) for x in (a, b))
-        at = np.arange(len(b) + 1)
-        row = at
-        for i, w in enumerate(a, 1):
-            new = np.concatenate(([i], np.minimum(row[1:] + 1, row[:-1] + (b != w))))
-            row = np.minimum.accumulate(new - at) + at  # insertions
-        return int(row[-1])
-
-    return pd.Series([one(a, b) for a, b in zip(ref, hyp)], dtype="Int32")
+    long = longest >= LONG
+    edits = F.coalesce(distances.char_edits(F.when(long, a), F.when(long, b)), F.when(~long, F.levenshtein(a, b)))
+    return F.when(longest == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - edits / longest))
 
 
 def word_error_rate(ref: Column, hyp: Column) -> Column:
-    """Word edits by the reference's length, not capped. Each distinct word becomes one character, for the built-in distance.
+    """Word edits by the reference's length, not capped."""
+    return F.when(F.size(ref) == 0, F.when(F.size(hyp) == 0, 0.0).otherwise(1.0)).otherwise(distances.word_edits(ref, hyp) / F.size(ref))
 
-    Pairs with more distinct words than there are such characters are done in Python.
-    """
-    words = F.array_distinct(F.concat(ref, hyp))
-    sign = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(19967) + F.array_position(words, w)), 4, "0")), "UTF-16BE")
-    edits = F.levenshtein(F.array_join(F.transform(ref, sign), ""), F.array_join(F.transform(hyp, sign), ""))
-    many = F.size(words) > SIGNS
-    edits = F.coalesce(_word_edits(F.when(many, ref), F.when(many, hyp)), F.when(~many, edits))
-    return F.when(F.size(ref) == 0, F.when(F.size(hyp) == 0, 0.0).otherwise(1.0)).otherwise(edits / F.size(ref))
+
+_word_edits = distances.word_edits
 
 
 #: What a judge's cell may say.

@@ -149,9 +149,17 @@ def text_char_similarity(spark, d):
     return rows.select("conv_id", "turn", F.bround(text.char_similarity(F.col("a"), F.col("b")), 6).alias("sim"))
 
 
-@query()
+# The table of distances a row at a time: steps down and across the diagonal, then insertions as a running minimum.
+_WER_SQL = f"""with recursive {_PAIRS_SQL}, q as materialized (select row_number() over () as id, * from c),
+ rw as materialized (select id, unnest(r) as w, generate_subscripts(r, 1) as i from q), hw as materialized (select id, unnest(h) as w, generate_subscripts(h, 1) as j from q),
+ cells as (select id, 0 as i, unnest(range(0, len(h) + 1)) as j, unnest(range(0, len(h) + 1)) as v from q
+  union all select id, i, j, j + min(base - j) over (partition by id order by j) as v from
+  (select cells.id, cells.i + 1 as i, cells.j, least(v + 1, coalesce(lag(v) over (partition by cells.id order by cells.j) + (rw.w <> hw.w)::int, v + 1)) as base from cells join rw on rw.id = cells.id and rw.i = cells.i + 1 left join hw on hw.id = cells.id and hw.j = cells.j))"""
+
+
+@query(f"{_WER_SQL} select conv_id, turn, round_even((case when len(r) = 0 then least(len(h), 1) else v / len(r) end)::double, 6) as wer from cells join q on q.id = cells.id and i = len(r) and j = len(h)")
 def text_wer(spark, d):
-    """Of whole turns. SQL has no distance over words; tests hold the query against brute force."""
+    """Of whole turns."""
     return _pairs(spark, d).select("conv_id", "turn", F.bround(text.word_error_rate(F.col("r"), F.col("h")), 6).alias("wer"))
 
 
@@ -221,9 +229,22 @@ def moves_strict(spark, d):
     return rows.select("l_orderkey", F.bround(moves.strict(F.col("t"), F.col("f")), 6).alias("strict"))
 
 
-@query()
+# The table of common lengths row by row, then the way back from its last cell.
+_ALIGNED_SQL = f"""with recursive t as ({_COMPACT_SQL}), p as ({QUERIES and SQL['moves_parse_model']}),
+ a as (select l_orderkey, list(concat_ws('|', color, src, dst) order by i) as t from t group by l_orderkey), b as (select l_orderkey, list(concat_ws('|', color, src, dst) order by i) as f from p group by l_orderkey),
+ o as (select l_orderkey, t, coalesce(f, []::varchar[]) as f from a left join b using (l_orderkey)),
+ grid as (select l_orderkey, t, f, 0 as n, list_transform(range(0, len(f) + 1), lambda j: 0::bigint) as prior, [list_transform(range(0, len(f) + 1), lambda j: 0::bigint)] as tab from o
+  union all select l_orderkey, t, f, n + 1, new, list_append(tab, new) from
+  (select *, list_prepend(0::bigint, list_transform(range(1, len(f) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: case when t[n + 1] = f[k] then prior[k] + 1 else prior[k + 1] end)))) as new from grid where n < len(t))),
+ back as (select l_orderkey, t, f, tab, len(t) as i, len(f) as j, []::bigint[] as m from grid where n = len(t)
+  union all select l_orderkey, t, f, tab, case when t[i] = f[j] or tab[i][j + 1] >= tab[i + 1][j] then i - 1 else i end, case when t[i] = f[j] or tab[i][j + 1] < tab[i + 1][j] then j - 1 else j end, case when t[i] = f[j] then list_prepend(i, m) else m end from back where i > 0 and j > 0),
+ e as (select l_orderkey, len(t) as nt, len(f) as nf, m from back where i = 0 or j = 0),
+ g as (select l_orderkey, place - k as island, count(*) as n from (select l_orderkey, unnest(m) as place, generate_subscripts(m, 1) as k from e) group by all),
+ h as (select l_orderkey, sum(n) filter (where n >= 2) as n from g group by l_orderkey)"""
+
+
+@query(f"{_ALIGNED_SQL} select l_orderkey, strict, round_even((len(m) / nt)::double, 6) as loose, round_even((coalesce(h.n, 0) / nt)::double, 6) as hybrid, len(m)::bigint as moves_matched, nt::bigint as moves_expected, nf::bigint as moves_predicted from e left join h using (l_orderkey) join ({SQL['moves_strict']}) using (l_orderkey)")
 def moves_loose_hybrid(spark, d):
-    """Alignment has no SQL; tests hold it against brute force."""
     rows = moves.move_scores(_orders(spark, d), "compact", "said", prefix="")
     return rows.drop("compact", "said", "tab")
 
