@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
-from array import array
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import SamplingError
+from ..functions import shuffles
 from ..storage import stored
 
 
@@ -114,33 +116,52 @@ def round_robin(rows: DataFrame, group: str, order: list[str], k: int) -> DataFr
     return rows.withColumn("depth", depth).where(F.col("depth") < k).orderBy("depth", group).limit(k)  # so no group is sorted whole
 
 
-def shuffled_limit(rows: DataFrame, order: str, k: int, seed: int = 42) -> DataFrame:
-    """The first k of a seeded shuffle of all rows in order, as a list of them would be shuffled: positions are drawn, then joined.
+#: Places of a shuffle that one task follows.
+FOLLOWED = 1_000_000
+
+
+def _turns(spark: SparkSession, shuffles_of: list[tuple], k: int) -> DataFrame:
+    """_group, _place (from 1), _turn (from 0) of the first k places of seeded shuffles, given as (group, n, state): worked out by tasks.
 
-    The shuffle of n positions is made on the driver, as the generator draws them one after the other; n is what fits there.
+    A task follows FOLLOWED places of one shuffle at most; what the driver has of a shuffle is its size and a generator's state.
     """
-    n = rows.count()
-    places = array("q", range(n))
-    random.Random(seed).shuffle(places)
-    chosen = rows.sparkSession.createDataFrame([(p + 1, i) for i, p in enumerate(places[:k])], "_place int, _turn int")
+    parts = [(g, n, *state, at, min(at + FOLLOWED, k, n)) for g, n, state in shuffles_of for at in range(0, min(k, n), FOLLOWED)]
+    given = spark.createDataFrame(parts, "_group string, n bigint, key binary, pos int, low bigint, high bigint").repartition(max(1, len(parts)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                found = shuffles.first_places((r["key"], r["pos"]), r["n"], r["high"], r["low"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["_group"]] * len(found), pa.string()), pa.array([p + 1 for p in found], pa.int64()), pa.array(range(r["low"], r["low"] + len(found)), pa.int64())], names=["_group", "_place", "_turn"])
+
+    return given.mapInArrow(run, "_group string, _place bigint, _turn bigint")
+
+
+def shuffled_limit(rows: DataFrame, order: str, k: int, seed: int = 42) -> DataFrame:
+    """The first k of a seeded shuffle of all rows in order, as a list of them would be shuffled: tasks find the places, which join with the rows'."""
+    chosen = _turns(rows.sparkSession, [("", rows.count(), shuffles.seeded(seed))], k).drop("_group")
     return ranked(rows, [], [order], "_place").join(chosen, "_place").orderBy("_turn").drop("_place", "_turn")
 
 
 def stratified(rows: DataFrame, group: str, order: str, k: int, seed: int = 42) -> DataFrame:
     """k rows taken in turn from each group, groups in order, after a seeded shuffle of each group's rows.
 
-    Groups are shuffled by one generator in the order in which their first rows come. k of 0 or less, or of all rows, takes all.
+    Groups are shuffled by one generator in the order in which their first rows come; the driver hands its state on from group to
+    group and holds no group's places. k of 0 or less, or of all rows, takes all.
     """
     sizes = rows.groupBy(group).agg(F.count("*").alias("n"), F.min(order).alias("first")).orderBy("first").collect()  # a row for each group
     if k <= 0 or k >= sum(r.n for r in sizes):
         return rows
-    rng, drawn = random.Random(seed), []
+    state, given = shuffles.seeded(seed), []
     for r in sizes:
-        places = list(range(r.n))
-        rng.shuffle(places)
-        drawn += [(r[group], p + 1, depth) for depth, p in enumerate(places[:k])]
-    turns = rows.sparkSession.createDataFrame(drawn, "_group string, _rank int, _depth int")
-    met = ranked(rows, [group], [order], "_rank").join(turns.withColumnRenamed("_rank", "_turn_rank"), (F.col(group).cast("string") == F.col("_group")) & (F.col("_rank") == F.col("_turn_rank")))
+        given.append((None if r[group] is None else str(r[group]), r.n, state))
+        state = shuffles.passed(state, r.n)
+    low, deep = 0, k  # rounds that give k rows
+    while deep - low > 1:
+        middle = (low + deep) // 2
+        low, deep = (low, middle) if sum(min(r.n, middle) for r in sizes) >= k else (middle, deep)
+    turns = _turns(rows.sparkSession, given, deep).withColumnsRenamed({"_place": "_turn_rank", "_turn": "_depth"})
+    met = ranked(rows, [group], [order], "_rank").join(turns, F.col(group).cast("string").eqNullSafe(F.col("_group")) & (F.col("_rank") == F.col("_turn_rank")))
     return met.orderBy("_depth", group).limit(k).drop("_rank", "_turn_rank", "_group", "_depth")
 
 

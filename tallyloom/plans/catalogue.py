@@ -6,6 +6,8 @@ which is quadratic in their length are conversation turns, which are short.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -272,7 +274,19 @@ def allocate_quota(spark, d):
     return _t(spark, d, "nation").select("n_nationkey", F.get(parts, F.col("n_nationkey") % 7).alias("quota"))
 
 
-@query()
+# The seed's first numbers of 32 bits; how they are drawn from, shuffled and sampled by is in the SQL.
+_RAW = f"raw as (select {[(lambda g: [g.getrandbits(32) for _ in range(6000)])(random.Random(42))][0]}::bigint[] as x)"
+_DREW = "(raw.x[pos] >> (32 - length(bin({m}))))"
+_SAMPLE_SQL = f"""with recursive {_RAW}, {_BUCKET_SQL}, d as (select doc_id, ord, bucket, (row_number() over (partition by ord order by doc_id::varchar))::int as rank from documents join b on n_chars >= low and n_chars < high),
+ z as (select b.ord, count(d.doc_id) as n, least(8, count(d.doc_id)) as take, count(d.doc_id) <= case when least(8, count(d.doc_id)) > 5 then 21 + 4 ** ceil(log(3 * least(8, count(d.doc_id))) / log(4)) else 21 end as pooled from b left join d on d.ord = b.ord group by b.ord),
+ s as (select 0 as ord, 0 as i, 1 as pos, range(0, n) as pool, []::bigint[] as got from z where ord = 0
+  union all select case when i >= take then s.ord + 1 else s.ord end, case when i >= take then 0 when ok then i + 1 else i end, case when i >= take then pos else pos + 1 end,
+   case when i >= take then range(0, coalesce(after_n, 0)) when ok and pooled then list_transform(range(0, n), lambda q: case when q = r then pool[n - i] else pool[q + 1] end) else pool end, case when i >= take then []::bigint[] when ok then list_append(got, case when pooled then pool[r + 1] else r end) else got end
+  from (select s.*, z.n, z.take, z.pooled, y.n as after_n, {_DREW.format(m="(case when z.pooled then greatest(z.n - i, 1) else z.n end)")} as r, r < case when z.pooled then z.n - i else z.n end and (z.pooled or not list_contains(got, r)) as ok from raw, s join z on z.ord = s.ord left join z y on y.ord = s.ord + 1) s),
+ p as (select s.ord, unnest(got) + 1 as rank from s join z on z.ord = s.ord and s.i = z.take)"""
+
+
+@query(f"{_SAMPLE_SQL} select doc_id, bucket, rank from d where exists (select 1 from p where p.ord = d.ord and p.rank = d.rank)")
 def bucket_sample(spark, d):
     return sampling.sample_buckets(_t(spark, d, "documents"), "n_chars", "doc_id", _EDGES, total=40).select("doc_id", "bucket", "rank")
 
@@ -287,11 +301,30 @@ def round_robin_topk(spark, d):
     return sampling.round_robin(_t(spark, d, "documents"), "source", ["doc_id"], 50).select("source", "doc_id", "depth")
 
 
-@query()
+# Places are swapped from the last to the second, each with one that is drawn at or below it.
+_SWAPPED = "list_transform(range(0, len({l})), lambda q: case when q = i then {l}[r + 1] when q = r then {l}[i + 1] else {l}[q + 1] end)"
+_SHUFFLE_SQL = f"""with recursive {_RAW}, s as (select count(*) - 1 as i, 1 as pos, range(0, count(*)) as l from benchmark
+  union all select case when r <= i then i - 1 else i end, pos + 1, case when r <= i then {_SWAPPED.format(l="l")} else l end from (select s.*, {_DREW.format(m="(i + 1)")} as r from s, raw where i > 0)),
+ t as (select unnest(l[1:10]) as place from s where i <= 0), n as (select item_id, row_number() over (order by item_id) - 1 as place from benchmark)"""
+
+
+@query(f"{_SHUFFLE_SQL} select item_id from n join t using (place)")
 def shuffled_limit(spark, d):
     return sampling.shuffled_limit(_t(spark, d, "benchmark").select("item_id"), "item_id", 10)
 
 
+_STRATA_SQL = f"""with recursive {_RAW}, g as (select source, count(*) as n, row_number() over (order by min(doc_id)) as k from documents group by source),
+ s as (select 1::bigint as k, n - 1 as i, 1 as pos, range(0, n) as l from g where k = 1
+  union all select case when i <= 0 then s.k + 1 else s.k end, case when i <= 0 then after_n - 1 when r <= i then i - 1 else i end, case when i <= 0 then pos else pos + 1 end, case when i <= 0 then range(0, after_n) when r <= i then {_SWAPPED.format(l="l")} else l end
+  from (select s.*, g.n as after_n, {_DREW.format(m="(i + 1)")} as r from raw, s left join g on g.k = s.k + 1 where i > 0 or g.n is not null) s),
+ t as (select source, unnest(l) as place, generate_subscripts(l, 1) as depth from s join g on g.k = s.k where i <= 0), n as (select source, doc_id, row_number() over (partition by source order by doc_id) - 1 as place from documents)"""
+
+
+@query(f"{_STRATA_SQL} select source, doc_id from n join t using (source, place) order by depth, source limit 60")
+def stratified_sample(spark, d):
+    return sampling.stratified(_t(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", 60)
+
+
 @query("select min(doc_id) as doc_id from documents where trim(text) <> '' group by trim(text)")
 def first_wins_dedupe(spark, d):
     return sampling.first_wins(_t(spark, d, "documents"), F.col("text"), ["doc_id"]).select("doc_id")
