@@ -195,12 +195,13 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, mos
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = scratch.stored(met.mapInArrow(workers.task(run), f"doc_id {kind}, y int, n bigint, at array<int>"), "ngrams")
-    # As many rows as the sample has, in one window.
+    # As many rows as the sample has, without their n-grams, in one window.
     upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    kept = rows.select("doc_id", "y", "at", upto.alias("upto")).where(F.col("upto") <= most_entries)
+    kept = rows.select("doc_id", upto.alias("upto")).where(F.col("upto") <= most_entries).select("doc_id")
+    got = rows.join(F.broadcast(kept), "doc_id").select("doc_id", "y", "at").toArrow().sort_by("doc_id").combine_chunks()
     total = sum(size.values()) or 1
-    got = sorted(kept.select("doc_id", "y", "at").collect(), key=lambda r: str(r.doc_id))
-    return [(np.array(r["at"], np.int32), r.y) for r in got], (size.get(0, 0) / total, size.get(1, 0) / total)
+    out = [(x.values.to_numpy(), y) for x, y in zip(got["at"], got["y"].to_pylist())]
+    return out, (size.get(0, 0) / total, size.get(1, 0) / total)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", per_class: int = 2000, most_entries: int = 20_000_000) -> Model:
