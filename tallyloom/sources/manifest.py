@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ManifestError
+from . import csv_records
 
 #: Fixed order of the core columns.
 CORE = (
@@ -44,7 +45,7 @@ def read(spark: SparkSession, path: str, *, schema: str | None = None) -> DataFr
 def _rows_of(spark: SparkSession, path: str, schema: str | None) -> DataFrame:
     low = path.lower()
     if low.endswith(".csv"):
-        return spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False, maxCharsPerColumn=-1, emptyValue="", nullValue="\0")
+        return csv_records.table(spark, path)
     if low.endswith(".parquet"):
         return spark.read.parquet(path)
     lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())

@@ -12,7 +12,7 @@ from ..errors import ConfigError, QuestionError
 from ..functions import items
 from ..operators import evaluate, sampling
 from ..storage import stored
-from . import manifest
+from . import csv_records, manifest
 
 
 def _first(rows: DataFrame, *names: str):
@@ -71,15 +71,10 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
     Blank rows go, and a first row whose last cell is the name of a column.
     """
-    kind = ", ".join(f"{c} string" for c in _CELLS)
-    rows = spark.read.csv(path, schema=f"{kind}, _bad string", multiLine=True, escape='"', columnNameOfCorruptRecord="_bad")
-    more = F.from_csv("_bad", kind)  # of rows with another number of cells, the first six
-    cells = [F.coalesce(F.col(c), more[c]).alias(c) for c in _CELLS]
-    rows = rows.select(*cells, F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"))
+    found = csv_records.records(spark, path)
+    rows = found.select(*[F.nullif(F.get("cells", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(_CELLS)], "_file", "_row", "_first")
     rows = rows.where(F.concat_ws("", *[F.trim(F.coalesce(c, F.lit(""))) for c in _CELLS]) != "")
-    first = F.broadcast(rows.groupBy("_file").agg(F.min("_row").alias("_first")))  # a row for each file
-    header = (F.col("_row") == F.col("_first")) & F.lower(F.trim(F.coalesce("answer", F.lit("")))).isin("answer", "label", "target")
-    return rows.join(first, "_file").where(~header).drop("_first")
+    return rows.where(~(F.col("_first") & F.lower(F.trim(F.coalesce("answer", F.lit("")))).isin("answer", "label", "target"))).drop("_first")
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -215,7 +210,7 @@ def read_table(spark: SparkSession, path: str, required: list[str], sep: str | N
     """A table with a header; its delimiter is found from its first 8 KiB if none is given. Columns that lack, and no rows, raise."""
     if sep is None:
         sep = sniff("\n".join(r.value for r in spark.read.text(path).limit(100).collect())[:8192])
-    rows = spark.read.csv(path, header=True, sep=sep, multiLine=True, escape='"')
+    rows = csv_records.table(spark, path, sep, empty=None)
     missing = [c for c in required if c not in rows.columns]
     if missing or rows.isEmpty():
         raise ConfigError(f"{path}: " + (f"no column {missing}, there are {rows.columns}" if missing else "no rows"))
