@@ -525,16 +525,19 @@ def perft(spark, d):
     return chess.perft_counts(spark, 4)
 
 
-@query()
+_TOLD = "case when c_custkey % 3 = 0 then 'said \"so\",' || chr(10) || c_name else '  ' || c_name end"
+
+
+@query(f"select c_custkey::varchar as sample_id, 'asl' as experiment, c_mktsegment as condition, {_TOLD} as model_output, c_nationkey::varchar as game_index from customer")
 def manifest_roundtrip(spark, d):
-    """Rows written as one JSONL file into the shared folder, which the driver sees as a path, and read again."""
+    """Rows written as one CSV file into the shared folder, which the driver sees as a path, and read again; quoted cells hold line ends."""
     from .. import storage
     from ..sources import manifest
 
-    rows = _t(spark, d, "nation").selectExpr("cast(n_nationkey as string) as sample_id", "'asl' as experiment", "n_name as condition", "n_regionkey as game_index")
-    path = storage.scratch_path(spark, "manifest").removeprefix("file://") + ".jsonl"
+    rows = _t(spark, d, "customer").selectExpr("cast(c_custkey as string) as sample_id", "'asl' as experiment", "c_mktsegment as condition", f"{_TOLD} as model_output", "c_nationkey as game_index")
+    path = storage.scratch_path(spark, "manifest").removeprefix("file://") + ".csv"
     manifest.write_file(rows, path)
-    return manifest.read(spark, f"file://{path}", schema="sample_id string, experiment string, condition string, game_index int")
+    return manifest.read(spark, f"file://{path}")
 
 
 from . import catalogue_runs  # noqa: E402, F401  registers its queries here

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import csv
-import json
-import os
-from pathlib import Path
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ManifestError
-from . import csv_records
+from . import csv_records, one_file
 
 #: Fixed order of the core columns.
 CORE = (
@@ -105,33 +100,6 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _cell(v: object) -> str:
-    if v is None:
-        return ""
-    if isinstance(v, bool):
-        return str(v).lower()
-    return f"{v:.6g}" if isinstance(v, float) else str(v)
-
-
 def write_file(rows: DataFrame, path: str, *, by: str | None = "sample_id") -> int:
-    """Rows in order as one JSONL or CSV file, which appears whole or not at all; rows come to the driver one partition at a time.
-
-    For tables that one file can hold. Larger ones are written as Parquet.
-    """
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    part = target.with_name(f".{target.name}.{os.getpid()}.part")
-    n = 0
-    ordered = rows.orderBy(by) if by else rows
-    with part.open("w", encoding="utf-8", newline="") as f:
-        out = csv.writer(f) if target.suffix.lower() == ".csv" else None
-        if out:
-            out.writerow(rows.columns)
-        for row in ordered.toLocalIterator():
-            if out:
-                out.writerow([_cell(v) for v in row])
-            else:
-                f.write(json.dumps(row.asDict(recursive=True), ensure_ascii=False, default=str) + "\n")
-            n += 1
-    os.replace(part, target)
-    return n
+    """Rows in order as one JSONL or CSV file, which appears whole or not at all; written in parts by executors."""
+    return one_file.write(rows, str(path), by=by)
