@@ -78,10 +78,13 @@ def _built(args: argparse.Namespace):
 
 
 def generate(args: argparse.Namespace) -> int:
-    spark = session(args.quiet)
+    from .plans import progress
+
+    spark = session(quiet=True)  # its own lines are shown instead
     made = _built(args)
     if not args.dry_run:
-        result = made.run(spark)
+        with progress.shown(spark, made.name, quiet=args.quiet):
+            result = made.run(spark)
         print(result.text())
         return 0 if result.ok else 1
     video = made.settings.video

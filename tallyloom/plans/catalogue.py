@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import items, mcq, moves, text
 from ..operators import chess, evaluate, plans, sampling
-from . import report
+from . import config, report
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -451,9 +451,13 @@ def question_normalise(spark, d):
     return questions.shaped(rows).select("id", "stem", *[o[k].alias(k.lower()) for k in items.LETTERS], "answer")
 
 
-@query("select n_nationkey, substr(sha256('{\"k\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}'), 1, 12) as hash from nation")
+@query("""select o_orderkey, substr(sha256('{"caf\\u00e9":{"a":[' || o_custkey || ',null],"price":' || o_totalprice::double || '},"name":"' || o_orderpriority || '\\u2026\\"","run":{"seed":' || o_custkey % 7 || '}}'), 1, 12) as hash from orders""")
 def config_hash_rows(spark, d):
-    return _t(spark, d, "nation").select("n_nationkey", F.substring(F.sha2(F.to_json(F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))), 256), 1, 12).alias("hash"))
+    """Of configurations in a column: nested, with numbers, escapes and settings that don't count."""
+    run = F.struct(F.lit(8).alias("workers"), (F.col("o_custkey") % 7).alias("seed"), F.lit("x").alias("run_id"))
+    price = F.struct(F.col("o_totalprice").cast("double").alias("price"), F.array("o_custkey", F.lit(None).cast("bigint")).alias("a"))
+    whole = F.struct(run.alias("run"), F.concat("o_orderpriority", F.lit('…"')).alias("name"), price.alias("café"))
+    return _t(spark, d, "orders").select("o_orderkey", config.config_hashes(whole, "struct").alias("hash"))
 
 
 _RATE = "case n_nationkey % 7 when 0 then '30/1' when 1 then '30000/1001' when 2 then 'N/A' when 3 then '0/0' when 4 then '29.97' when 5 then '' else ' 25 ' end"

@@ -12,6 +12,11 @@ from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
 from ..errors import ConfigError
 
 #: Fixed names: what doesn't count for a run's identity.
@@ -76,6 +81,20 @@ def config_hash(config: Mapping) -> str:
     return hashlib.sha256(canonical(config).encode()).hexdigest()[:12]
 
 
+@F.arrow_udf(StringType())
+def _hashed(text: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else config_hash(json.loads(t)) for t in text.to_pylist()], pa.string())
+
+
+def config_hashes(config: Column, kind: str = "string") -> Column:
+    """config_hash() of a column that holds configurations: JSON text or, by kind, structs, maps or variants; null stays null.
+
+    Their form is the one that the digest of a file's configuration is taken of: keys sorted at every level, numbers and
+    escapes as Python's json writes them, run's settings that don't touch the results left out. Fields that are null are kept.
+    """
+    return _hashed(config if kind == "string" else F.to_json(config, {"ignoreNullFields": "false"}))
+
+
 def flat(config: Mapping, prefix: str = "") -> dict[str, object]:
     """Dotted names; lists as JSON text."""
     out: dict[str, object] = {}
