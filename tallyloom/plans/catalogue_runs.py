@@ -152,12 +152,12 @@ def question_dict(spark, d):
 
 
 @query("""with m as (select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as ply from lineitem),
- x as (select l_orderkey, ply, ((ply + 1) // 2)::varchar as no, case when ply % 2 = 1 then 'White' else 'Black' end as color, chr((97 + ply % 8)::int) || '2' as src, chr((97 + ply % 8)::int) || '4' as dst from m where ply <= 6)
+ x as (select l_orderkey, ply, ((ply + 1) // 2)::varchar as no, case when ply % 2 = 1 then 'White' else 'Black' end as color, chr((97 + ply % 8)::int) || '2' as src, chr((97 + ply % 8)::int) || '4' as dst from m)
  select l_orderkey, string_agg(no || ' ' || color || ' ' || src || ' ' || dst, '; ' order by ply) as compact, 'Game #' || l_orderkey || ' — Move Transcription' || chr(10) || repeat('=', 46) || chr(10) || chr(10) || 'Move    Turn      Source    Destination' || chr(10) || '----    ----      ------    -----------' || chr(10)
  || string_agg(rpad(no, 6, ' ') || '  ' || rpad(color, 8, ' ') || '  ' || rpad(src, 8, ' ') || '  ' || dst, chr(10) order by ply) || chr(10) || chr(10) || 'Result: done' || chr(10) || 'Total half-moves: ' || count(*) || chr(10) as transcript from x group by l_orderkey""")
 def game_texts(spark, d):
-    """The transcripts of clips, in columns of fixed width and in one line."""
-    rows = _t(spark, d, "lineitem").selectExpr("l_orderkey", "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as ply").where("ply <= 6")
+    """The transcripts of whole orders, in columns of fixed width and in one line."""
+    rows = _t(spark, d, "lineitem").selectExpr("l_orderkey", "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as ply")
     plies = rows.selectExpr("cast(l_orderkey as string) as sample_id", "ply", "(ply + 1) div 2 as move_no", "case when ply % 2 = 1 then 'White' else 'Black' end as color", "char(97 + ply % 8) || '2' as src", "char(97 + ply % 8) || '4' as dst", "'' as board_after")
     clips = rows.groupBy("l_orderkey").agg(F.count("*").alias("n_half_moves")).selectExpr("cast(l_orderkey as string) as sample_id", "l_orderkey as game_index", "'done' as game_result", "n_half_moves")
     return chess.transcript_texts(plies, clips).select(F.col("sample_id").cast("bigint").alias("l_orderkey"), "compact", "transcript")

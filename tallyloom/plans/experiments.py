@@ -25,7 +25,7 @@ from ..sources import manifest, media, questions
 from ..storage import stored
 from . import frames
 from .config import Reader, Settings, run_id
-from .runs import INLINE, MEDIA, TRUTH, RunFolder, RunResult
+from .runs import INLINE, MEDIA, TRUTH, RunFolder, RunResult, put_text
 
 MOTIONS, MODES, FORMATS = ("static", "animated"), ("vanishing", "cumulative"), ("auto", "jsonl", "mmlu_csv")
 #: Words a second where a configuration names none.
@@ -223,7 +223,7 @@ class Chess(Experiment):
         def truths(batches: Iterator) -> Iterator:
             for batch in batches:
                 for path, text in zip(batch["ground_truth_path"], batch["transcript"]):
-                    folder.resolve(path).write_text(text, encoding="utf-8")
+                    put_text(folder.resolve(path), text)
                 yield batch
 
         out = made(rows.mapInPandas(truths, rows.schema), job, resume=self.settings.run.resume)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import shutil
+import uuid
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -90,10 +92,21 @@ class RunFolder:
         """What the manifest's cell holds, and the file's relative path: a long text goes to a file and the cell shows its beginning."""
         if len(text) <= INLINE:
             return text, ""
-        self.truth(name).write_text(text, encoding="utf-8")
+        put_text(self.truth(name), text)
         return text[:INLINE].rstrip() + CUT, f"{TRUTH}/{name}"
 
 
+def put_text(path: Path, text: str) -> None:
+    """A file that is there whole or not at all, whichever of a task's attempts writes it; its folder has to be there, on executors too."""
+    part = path.with_name(f".{path.name}.{uuid.uuid4().hex}.part")
+    try:
+        part.write_text(text, encoding="utf-8")
+        os.replace(part, path)
+    except BaseException:
+        part.unlink(missing_ok=True)
+        raise
+
+
 @dataclass
 class RunResult:
     """What a run made."""

@@ -79,13 +79,13 @@ def write(rows: DataFrame, path: str, *, by: str | None = None) -> int:
     try:
         ordered.mapInArrow(run, "value string").write.option("lineSep", "\n").text(parts)
         found = sorted((int(re.match(r"part-(\d+)", p.getName())[1]), p.toString()) for p in (s.getPath() for s in shared.listStatus(folder)) if p.getName().startswith("part-"))
-        _join(spark, [p for _, p in found], path, (csv_line(names, tuple(names)) + "\n").encode() if line is csv_line else b"")
+        join(spark, [p for _, p in found], path, (csv_line(names, tuple(names)) + "\n").encode() if line is csv_line else b"")
     finally:
         shared.delete(folder, True)
     return seen.get["n"]
 
 
-def _join(spark, parts: list[str], path: str, head: bytes) -> None:
+def join(spark, parts: list[str], path: str, head: bytes) -> None:
     """The parts' bytes after the head, under a name of its own until all are there."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()  # noqa: SLF001
     stamp = f".{os.getpid()}-{dt.datetime.now():%H%M%S%f}.part"
