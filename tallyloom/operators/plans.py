@@ -52,6 +52,24 @@ def reveal(questions: DataFrame, words: Column, *, cumulative: bool, hold: int,
     return seq.select("question_id", F.posexplode(frames).alias("seg", "f")).select("question_id", "seg", "f.shown", "f.hold").where("hold > 0")
 
 
+def referred(segments: DataFrame, content: list[str], frame: str = "frame") -> DataFrame:
+    """Segments that name their frame, by a digest of what it shows, instead of holding it; equal frames of any clip have one name.
+
+    Each part of the content counts with its length, so that parts don't run into each other; null is told from empty.
+    """
+    part = lambda c: F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    return segments.withColumn(frame, F.sha2(F.concat(*map(part, content)), 256)).drop(*content)
+
+
+def distinct_frames(segments: DataFrame, content: list[str], frame: str = "frame") -> DataFrame:
+    """The frames that segments show, each once: its name and content, the segments that refer to it, and for how many frames they hold it.
+
+    What a run has to draw; segments that all show one frame, as the blank one, are counted where they are before they meet.
+    """
+    named = referred(segments.select(*content, "hold", *[F.col(c).alias(f"_{c}") for c in content]), content, frame).withColumnsRenamed({f"_{c}": c for c in content})
+    return named.groupBy(frame).agg(*[F.first(c).alias(c) for c in content], F.count("*").alias("n_segments"), F.sum("hold").cast("bigint").alias("n_held"))
+
+
 def reduced(segments: DataFrame, key: str) -> DataFrame:
     """Holds by their divisor: what an encoder writes of each timeline, and what it saves."""
     per = segments.groupBy(key).agg(F.sum("hold").cast("bigint").alias("n_frames"), F.sort_array(F.collect_set(F.col("hold").cast("bigint"))).alias("holds"))

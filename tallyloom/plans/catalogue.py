@@ -407,6 +407,30 @@ def word_reveal_cumulative(spark, d):
     return plans.reveal(_questions(spark, d), items._split(F.col("text")), cumulative=True, hold=15)
 
 
+_REVEALED_SQL = f"""{_WORDS_SQL}, a as (select 'cumulative' as mode, array_to_string(ws[1:i], ' ') as shown, 15 as hold from w, unnest(range(1, len(ws) + 1)) as x(i)
+ union all select 'vanishing', case when g = 0 then ws[i] else '' end, case when g = 0 then 15 else 6 end from w, unnest(range(1, len(ws) + 1)) as x(i), range(2) as y(g))"""
+
+
+def _revealed(spark: SparkSession, d: str) -> DataFrame:
+    q = _questions(spark, d)
+    parts = [plans.reveal(q, items._split(F.col("text")), cumulative=c, hold=15, gap=6).withColumn("mode", F.lit("cumulative" if c else "vanishing")) for c in (True, False)]
+    return parts[0].unionByName(parts[1])
+
+
+@query(f"with {_REVEALED_SQL}, f as (select shown, list_sort(list_distinct(list(mode))) as modes, count(*) as n_segments, sum(hold)::bigint as n_held from a group by shown) select sha256(strlen(shown)::varchar || ':' || shown) as frame, array_to_string(modes, ',') as modes, n_segments, n_held from f")
+def frames_once(spark, d):
+    """What the clips of all questions show, each frame once, whichever clips refer to it."""
+    rows = _revealed(spark, d)
+    modes = plans.referred(rows, ["shown"]).groupBy("frame").agg(F.array_join(F.sort_array(F.collect_set("mode")), ",").alias("modes"))
+    return plans.distinct_frames(rows, ["shown"]).join(modes, "frame").select("frame", "modes", "n_segments", "n_held")
+
+
+@query(f"with {_REVEALED_SQL} select mode, count(*) as referred, count(distinct shown) as distinct_frames, sum(hold)::bigint as held from a group by mode")
+def frames_by_condition(spark, d):
+    """How many frames the clips of a condition refer to, how many of them differ, and for how many they are held."""
+    return plans.referred(_revealed(spark, d), ["shown"]).groupBy("mode").agg(F.count("*").alias("referred"), F.countDistinct("frame").alias("distinct_frames"), F.sum("hold").cast("bigint").alias("held"))
+
+
 @query("with s as (select l_orderkey, l_quantity::bigint * 6 as h from lineitem), g as (select l_orderkey, sum(h)::bigint as n_frames, list_reduce(list(h), lambda a, b: gcd(a, b))::bigint as g from s group by 1) select l_orderkey, n_frames, case when g = 0 then 1 else g end as divisor, n_frames // (case when g = 0 then 1 else g end) as piped, round_even(1 - (n_frames // (case when g = 0 then 1 else g end)) / n_frames, 6) as savings from g")
 def timeline_gcd(spark, d):
     return plans.reduced(_t(spark, d, "lineitem").select("l_orderkey", (F.col("l_quantity").cast("bigint") * 6).alias("hold")), "l_orderkey")
