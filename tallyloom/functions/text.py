@@ -69,11 +69,32 @@ def exact_match(a: Column, b: Column) -> Column:
     return (normalise(a) == normalise(b)).cast("double")
 
 
+#: Words in common times words in all up to which the former are counted one by one.
+ONE_BY_ONE = 20_000
+
+
 def overlap(a: Column, b: Column) -> Column:
-    """The size of the multiset intersection of two arrays."""
+    """The size of the multiset intersection of two arrays of text.
+
+    Words of both are counted one by one where they are few; else both arrays are sorted together, and each word's run is counted.
+    """
     both = F.array_intersect(a, b)
     count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    return F.aggregate(both, F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x)))
+    one_by_one = F.aggregate(both, F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x)))
+    return F.when(F.size(both).cast("bigint") * (F.size(a) + F.size(b)) <= ONE_BY_ONE, one_by_one).otherwise(_sorted_overlap(a, b))
+
+
+def _sorted_overlap(a: Column, b: Column) -> Column:
+    of = lambda xs, side: F.transform(xs, lambda w: F.struct(w.alias("w"), F.lit(side).alias("side")))
+    both = F.sort_array(F.concat(of(a, 0), of(b, 1)))
+    none = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("n"))
+
+    def step(seen: Column, x: Column) -> Column:
+        same = seen["w"].eqNullSafe(x["w"])
+        more = lambda name, side: (F.when(same, seen[name]).otherwise(0) + F.when(x["side"] == side, 1).otherwise(0)).alias(name)
+        return F.struct(x["w"].alias("w"), more("a", 0), more("b", 1), (seen["n"] + F.when(same, 0).otherwise(F.least(seen["a"], seen["b"]))).alias("n"))
+
+    return F.aggregate(both, none, step, lambda seen: seen["n"] + F.least(seen["a"], seen["b"]))
 
 
 def token_f1(ref: Column, hyp: Column) -> Column:

@@ -303,14 +303,14 @@ def round_robin_topk(spark, d):
 
 # Places are swapped from the last to the second, each with one that is drawn at or below it.
 _SWAPPED = "list_transform(range(0, len({l})), lambda q: case when q = i then {l}[r + 1] when q = r then {l}[i + 1] else {l}[q + 1] end)"
-_SHUFFLE_SQL = f"""with recursive {_RAW}, s as (select count(*) - 1 as i, 1 as pos, range(0, count(*)) as l from benchmark
+_SHUFFLE_SQL = f"""with recursive {_RAW}, s as (select count(*) - 1 as i, 1 as pos, range(0, count(*)) as l from documents
   union all select case when r <= i then i - 1 else i end, pos + 1, case when r <= i then {_SWAPPED.format(l="l")} else l end from (select s.*, {_DREW.format(m="(i + 1)")} as r from s, raw where i > 0)),
- t as (select unnest(l[1:10]) as place from s where i <= 0), n as (select item_id, row_number() over (order by item_id) - 1 as place from benchmark)"""
+ t as (select unnest(l[1:10]) as place from s where i <= 0), n as (select doc_id, row_number() over (order by doc_id) - 1 as place from documents)"""
 
 
-@query(f"{_SHUFFLE_SQL} select item_id from n join t using (place)")
+@query(f"{_SHUFFLE_SQL} select doc_id from n join t using (place)")
 def shuffled_limit(spark, d):
-    return sampling.shuffled_limit(_t(spark, d, "benchmark").select("item_id"), "item_id", 10)
+    return sampling.shuffled_limit(_t(spark, d, "documents").select("doc_id"), "doc_id", 10)
 
 
 _STRATA_SQL = f"""with recursive {_RAW}, g as (select source, count(*) as n, row_number() over (order by min(doc_id)) as k from documents group by source),

@@ -165,3 +165,14 @@ def test_word_edits_equal_brute_force(spark):
 def test_games_of_full_length(spark):
     games = catalogue.QUERIES["game_transcripts"](spark, "unused").collect()
     assert len(games) == 20 and max(g.n_half_moves for g in games) > 40 and any("limit" not in g.result for g in games)
+
+
+def test_overlap_of_few_and_of_many(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(2)
+    rows = [([rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(n)], [rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(m)]) for n, m in ((0, 0), (0, 5), (5, 0), (40, 30), (3000, 2500), (1, 4000))]
+    got = spark.createDataFrame(rows, "a array<string>, b array<string>").select("a", "b", text.overlap(F.col("a"), F.col("b")).alias("n"), text._sorted_overlap(F.col("a"), F.col("b")).alias("m")).collect()
+    for r in got:
+        assert r.n == r.m == sum((Counter(r.a) & Counter(r.b)).values())
