@@ -93,7 +93,8 @@ def sample_buckets(rows: DataFrame, value: str, identity: str, edges: list[float
     """A seeded sample of each bucket, the same as drawing from the rows sorted by identity as text.
 
     The draw depends on the buckets' sizes alone: these are counted, the ranks are drawn on the driver from one generator in
-    the order of the buckets, and join with the rows' ranks. An empty bucket draws nothing. rank is the place among the bucket's rows.
+    the order of the buckets, and join with the rows' ranks. An empty bucket draws nothing. All columns of rows are sorted along, so
+    leave out those that the sample needn't have. rank is the place among the bucket's rows.
     """
     if (total is None) == (per_bucket is None):
         raise SamplingError("exactly one of total and per_bucket")

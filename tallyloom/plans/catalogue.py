@@ -288,7 +288,7 @@ _SAMPLE_SQL = f"""with recursive {_RAW}, {_BUCKET_SQL}, d as (select doc_id, ord
 
 @query(f"{_SAMPLE_SQL} select doc_id, bucket, rank from d where exists (select 1 from p where p.ord = d.ord and p.rank = d.rank)")
 def bucket_sample(spark, d):
-    return sampling.sample_buckets(_t(spark, d, "documents"), "n_chars", "doc_id", _EDGES, total=40).select("doc_id", "bucket", "rank")
+    return sampling.sample_buckets(_t(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", _EDGES, total=40).select("doc_id", "bucket", "rank")
 
 
 @query(f"with {_BUCKET_SQL}, r as (select doc_id, bucket, row_number() over (partition by bucket order by doc_id)::int as rank from documents join b on n_chars >= low and n_chars < high) select * from r where rank <= 5")
