@@ -72,7 +72,8 @@ def write(rows: DataFrame, path: str, *, by: str | None = None) -> int:
             yield pa.RecordBatch.from_arrays([pa.array([line(names, v) for v in zip(*cols)], pa.string())], names=["value"])
 
     seen, parts = Observation(), scratch_path(spark, "parts")
-    ordered = (rows.orderBy(by) if by else rows).observe(seen, F.count(F.lit(1)).alias("n"))
+    plain = rows.toDF(*[f"_{i}" for i in range(len(names))])  # a name may hold a dot
+    ordered = (plain.orderBy(f"_{names.index(by)}") if by else plain).observe(seen, F.count(F.lit(1)).alias("n"))
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()  # noqa: SLF001
     folder = jvm.org.apache.hadoop.fs.Path(parts)
     shared = folder.getFileSystem(conf)

@@ -71,6 +71,11 @@ def test_a_failed_join_leaves_what_was_there(spark, table, tmp_path, monkeypatch
     assert path.read_text() == "before" and os.listdir(tmp_path) == ["m.jsonl"] and left(spark) == []
 
 
+def test_names_with_dots(spark, tmp_path):
+    one_file.write(spark.createDataFrame([(2, "x"), (1, "y")], "`a.b` int, `c d` string"), str(tmp_path / "a.jsonl"), by="a.b")
+    assert (tmp_path / "a.jsonl").read_text() == '{"a.b": 1, "c d": "y"}\n{"a.b": 2, "c d": "x"}\n'
+
+
 def test_paths_of_a_store(spark, table, tmp_path):
     for _ in range(2):
         assert manifest.write_file(table.select("id"), f"file://{tmp_path}/a.jsonl", by="id") == 57
