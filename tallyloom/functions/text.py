@@ -137,7 +137,7 @@ def with_grams(rows: DataFrame, ref: str, hyp: str, max_n: int = 4) -> tuple[Dat
 
 
 #: Characters of the longer text from which a pair's distance is worked out by bits; the built-in one takes a step for each pair of characters.
-LONG = 2000
+LONG = 200
 
 
 def char_similarity(a: Column, b: Column) -> Column:
