@@ -35,6 +35,7 @@ def format_conversations(turns: DataFrame, *, assistant: str = "assistant") -> D
 
     Nulls: a null text or role is empty, a null turn comes first, null conv_ids make one conversation. Rows that repeat
     a turn are all kept, in the order of role and text. Extra columns are ignored. A conversation is one row at least.
+    An empty table gives none. Texts are taken whole; a conversation's turns are gathered in one row, so its length is bounded by a row's.
     """
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     convs = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))

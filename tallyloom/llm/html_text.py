@@ -318,6 +318,7 @@ def extracted(pages: DataFrame, *, html: str = "html", trees: Trees | None = Non
 
     Nulls: a null page has an empty text. Cut-off tags, unclosed elements and bare "<" are read as browsers do; no block is
     dropped or cut for its length. Repeated rows have the same text. A column named text is replaced.
+    Nodes whose scores tie at nothing are dropped. An empty table gives an empty one.
     """
     sent = pages.sparkSession.sparkContext.broadcast(trees or trained())
     names = [c for c in pages.columns if c not in (html, "text")]

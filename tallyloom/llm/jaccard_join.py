@@ -483,7 +483,8 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size
 
     A null or empty text, or one without words, has no shingles and is linked with nothing: its class is itself. A null
     doc_id has a null class and links with nothing. Rows that repeat a doc_id are rows of their own, in the class of
-    their text. Extra columns are ignored, an empty table gives an empty one. Sets are told apart by 64-bit hashes.
+    their text. Extra columns are ignored, an empty table gives an empty one. Texts are taken whole, very long ones go through
+    batches bounded by bytes. Sets are told apart by 64-bit hashes.
     """
     with scratch.working():
         rows, of = _classed(docs, doc_id, text, size)

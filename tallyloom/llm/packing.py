@@ -32,6 +32,7 @@ def pieces_of(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", to
 
     A document is its ids and end_id (a null text: end_id alone). Longer ones than capacity are cut into pieces of
     capacity ids, the first of which takes what remains. Rows with a repeated doc_id are cut each; a null doc_id stays.
+    Texts are encoded whole, whatever their length. Other columns play no part, an empty table gives no pieces.
     """
     file = tokenizer or tokenizer_path()
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
