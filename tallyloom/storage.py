@@ -79,16 +79,17 @@ def files_for(rows: int, each: int = 20_000) -> int:
     return max(1, -(-rows // each))
 
 
-def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, files: int | None = None, codec: str | None = None) -> DataFrame:
     """Write df once and read it back: later actions neither recompute it nor depend on the executors that made it.
 
     files: no more files than these, written by as many tasks; for tables of a known size that many partitions would make
-    of tiny files, each of which costs processes where a file system sets permissions.
+    of tiny files, each of which costs processes where a file system sets permissions. codec: how it is compressed, if not as
+    the session says; zstd takes less disk and more time.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     with small_batches(spark):
-        (df.coalesce(files) if files else df).write.parquet(path)
+        (df.coalesce(files) if files else df).write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path  # noqa: SLF001
     if _working:
