@@ -106,7 +106,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """
     row, key, at = scratch.private(docs, "row", "key", "time")
     # The number is written with the row: it stays what it is when a task runs again.
-    whole = scratch.stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    whole = scratch.stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows", codec="zstd")
     plan = mix(whole, row=row, **how)
     copies = plan.select(F.col("row").alias(key), F.explode("times").alias(at))
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
