@@ -465,3 +465,10 @@ def test_intermediate_tables(spark):
         with pytest.raises(Exception):
             df.count()
     storage.discard(stays)
+
+
+def test_question_numbers_past_five_digits(spark):
+    rows = spark.range(100_002).selectExpr("id as _row", "'s' as stem", "map('A', 'a', 'B', 'b', 'C', 'c', 'D', 'd') as options", "'x' as source")
+    out = questions.chosen(rows.orderBy("_row"))
+    assert out.select("id").distinct().count() == 100_002
+    assert [(r.id, r._row) for r in out.where("_row in (0, 99999, 100000, 100001)").orderBy("_row").collect()] == [("q_00000", 0), ("q_99999", 99999), ("q_100000", 100000), ("q_100001", 100001)]
