@@ -81,12 +81,12 @@ def clip_timeline(plies: DataFrame, game: str, ply: str, *, n_moves: int, per_mo
     """The segments of each game's first n_moves: an intro, a segment for each move, and the outro in the last.
 
     With slides, each move is so many frames of one on their way before the position that is held; place orders all of them.
+    Segments hold places in the order of ply and nothing of the plies, so a game's plies are counted where they are, not sorted.
     """
-    ranked = plies.withColumn("seg", F.row_number().over(Window.partitionBy(game).orderBy(ply))).where(F.col("seg") <= n_moves)
-    last = F.max("seg").over(Window.partitionBy(game))
-    moves = ranked.withColumn("hold", per_move + F.when(F.col("seg") == last, outro).otherwise(0))
-    start = ranked.where("seg = 1").select(game, F.lit(0).alias("seg"), F.lit(intro).alias("hold"))
-    out = moves.select(game, "seg", "hold").unionByName(start)
+    last = F.least(F.count(F.lit(1)), F.lit(n_moves)).cast("int")
+    games = plies.groupBy(game).agg(last.alias("_last")).where("_last > 0")
+    hold = F.when(F.col("seg") == 0, intro).otherwise(per_move + F.when(F.col("seg") == F.col("_last"), outro).otherwise(0))
+    out = games.select(game, "_last", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("seg")).select(game, "seg", hold.alias("hold"))
     if slides is None:
         return out
     step = F.struct(F.lit(1).alias("hold"))

@@ -472,3 +472,16 @@ def test_question_numbers_past_five_digits(spark):
     out = questions.chosen(rows.orderBy("_row"))
     assert out.select("id").distinct().count() == 100_002
     assert [(r.id, r._row) for r in out.where("_row in (0, 99999, 100000, 100001)").orderBy("_row").collect()] == [("q_00000", 0), ("q_99999", 99999), ("q_100000", 100000), ("q_100001", 100001)]
+
+
+def test_clip_timeline_counts_plies(spark):
+    from tallyloom.operators import plans
+
+    sizes = {1: 1, 2: 3, 3: 4, 4: 9, None: 2}
+    rows = spark.createDataFrame([(g, (7 * i) % 5) for g, n in sizes.items() for i in range(n)], "g bigint, p int")
+    for n_moves in (0, 1, 4):
+        out = plans.clip_timeline(rows, "g", "p", n_moves=n_moves, per_move=36, intro=60, outro=120)
+        want = [(g, k, 60 if k == 0 else 36 + 120 * (k == min(n, n_moves))) for g, n in sizes.items() if n_moves for k in range(min(n, n_moves) + 1)]
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str) and out.dtypes == [("g", "bigint"), ("seg", "int"), ("hold", "int")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan  # no task holds a game's plies, or sorts them
