@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Callable, Hashable, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
@@ -20,32 +21,50 @@ MODEL_LIST = r"(?i)(\d+)\s*[.)]\s*(white|black)\s+" + _SQUARES
 MODEL_BARE = r"(?i)(white|black)\s+" + _SQUARES
 
 
-def _found(text: Column, pattern: str, numbered: bool = True) -> Column:
-    """All matches as moves; without numbers they count from one."""
-    group = lambda k: F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
+#: What stands around a match and between its groups; where a text has one of them, a third is put there, which no pattern tells from it.
+_EDGE, _BETWEEN, _OTHER = "\x01", "\x02", "\x03"
+
+
+def _text(text: Column) -> Column:
+    t = F.coalesce(text, F.lit(""))
+    return F.when(t.contains(_EDGE) | t.contains(_BETWEEN), F.translate(t, _EDGE + _BETWEEN, _OTHER * 2)).otherwise(t)
+
+
+def _marked(text: Column, pattern: str, groups: int = 4) -> Column:
+    """text with a pattern's groups marked at each match, by one pass over it."""
+    return F.regexp_replace(text, pattern, _EDGE + _BETWEEN.join(f"${k}" for k in range(1, groups + 1)) + _EDGE)
+
+
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _found(marked: Column, numbered: bool = True) -> Column:
+    """The matches of a marked text as moves; without numbers they count from one."""
+    groups = F.transform(F.filter(F.split(marked, _EDGE), lambda x, i: i % 2 == 1), lambda x: F.split(x, _BETWEEN))
     k = 1 if numbered else 0
-    colors, src, dst = group(k + 1), group(k + 2), group(k + 3)
-    rows = F.arrays_zip(colors.alias("c"), src.alias("s"), dst.alias("d"), *([group(1).alias("n")] if numbered else []))
-    number = (lambda x, i: x["n"].try_cast("bigint")) if numbered else (lambda x, i: (i + 1).cast("bigint"))
-    return F.transform(rows, lambda x, i: F.struct(number(x, i).alias("move_num"), F.initcap(x["c"]).alias("color"), F.lower(x["s"]).alias("from"), F.lower(x["d"]).alias("to")))
+    number = (lambda x, i: x[0].try_cast("bigint")) if numbered else (lambda x, i: (i + 1).cast("bigint"))
+    # Patterns know two colours; initcap would look for the words of each one by itself, which takes longer than the pattern.
+    return F.transform(groups, lambda x, i: F.struct(number(x, i).alias("move_num"), F.when(F.lower(x[k]) == "white", "White").otherwise("Black").alias("color"), F.lower(x[k + 1]).alias("from"), F.lower(x[k + 2]).alias("to")))
 
 
 def parse_transcript(text: Column, last_move: int | None = None) -> Column:
     """The moves of a table or, if it has none, of a compact cell; by number, white first, else as they stand."""
-    t = F.coalesce(text, F.lit(""))
-    rows = _found(t, TABLE_ROW)
-    rows = F.when(F.size(rows) > 0, rows).otherwise(_found(t, COMPACT))
+    t = _text(text)
+    rows = _found(_once(_marked(t, TABLE_ROW), lambda x: F.when(x.contains(_EDGE), x).otherwise(_marked(t, COMPACT))))
     if last_move is not None:
         rows = F.filter(rows, lambda m: m["move_num"] <= last_move)
     keyed = F.transform(rows, lambda m, i: F.struct(m["move_num"].alias("k"), (m["color"] != "White").alias("black"), i.alias("i"), m.alias("m")))
-    return F.transform(F.array_sort(keyed), lambda x: x["m"])
+    return F.transform(F.sort_array(keyed), lambda x: x["m"])
 
 
 def parse_model_output(text: Column) -> Column:
     """The moves of the most explicit pattern that occurs; bare moves are numbered in order."""
-    t = F.coalesce(text, F.lit(""))
-    first, second = _found(t, MODEL_MOVE), _found(t, MODEL_LIST)
-    return F.when(F.size(first) > 0, first).when(F.size(second) > 0, second).otherwise(_found(t, MODEL_BARE, False))
+    t = _text(text)
+    bare = _found(_marked(t, MODEL_BARE, 3), False)
+    listed = _once(_marked(t, MODEL_LIST), lambda x: F.when(x.contains(_EDGE), _found(x)).otherwise(bare))
+    return _once(_marked(t, MODEL_MOVE), lambda x: F.when(x.contains(_EDGE), _found(x)).otherwise(listed))
 
 
 def keys(moves: Column) -> Column:
@@ -65,19 +84,20 @@ def aligned(truth: list[str], found: list[str]) -> list[tuple[int, int]]:
     return distances.common(truth, found)
 
 
-@F.pandas_udf(StructType().add("loose", DoubleType()).add("hybrid", DoubleType()).add("matched", LongType()))
-def alignment(truth: pd.Series, found: pd.Series) -> pd.DataFrame:
-    """Of key arrays: the share aligned, the share in runs of two or more neighbours in truth, and how many are aligned."""
+def _shares(truth: Sequence[Hashable], found: Sequence[Hashable]) -> tuple[float, float, int]:
+    if not truth:
+        return 0.0, 0.0, 0
+    at = [i for i, _ in distances.common(truth, found)]
+    in_runs = sum((k > 0 and at[k - 1] == i - 1) or (k + 1 < len(at) and at[k + 1] == i + 1) for k, i in enumerate(at))
+    return len(at) / len(truth), in_runs / len(truth), len(at)
 
-    def one(t: np.ndarray, f: np.ndarray) -> tuple[float, float, int]:
-        t, f = list(t), list(f)
-        if not t:
-            return 0.0, 0.0, 0
-        at = np.array([i for i, _ in aligned(t, f)], int)
-        runs = np.unique(at - np.arange(len(at)), return_counts=True)[1]
-        return len(at) / len(t), float(runs[runs >= 2].sum()) / len(t), len(at)
 
-    return pd.DataFrame([one(t, f) for t, f in zip(truth, found)], columns=["loose", "hybrid", "matched"])
+@F.arrow_udf(StructType().add("loose", DoubleType()).add("hybrid", DoubleType()).add("matched", LongType()))
+def alignment(truth: pa.Array, found: pa.Array) -> pa.Array:
+    """Of key arrays: the share aligned, the share in runs of two or more neighbours in truth, and how many are aligned."""
+    rows = [_shares(t or [], f or []) for t, f in distances.numbered(truth, found)]
+    loose, hybrid, matched = zip(*rows) if rows else ((), (), ())
+    return pa.StructArray.from_arrays([pa.array(loose, pa.float64()), pa.array(hybrid, pa.float64()), pa.array(matched, pa.int64())], names=["loose", "hybrid", "matched"])
 
 
 def move_scores(rows: DataFrame, truth_text: str, output: str, half_moves: str | None = None, prefix: str = "score_") -> DataFrame:

@@ -176,3 +176,34 @@ def test_overlap_of_few_and_of_many(spark):
     got = spark.createDataFrame(rows, "a array<string>, b array<string>").select("a", "b", text.overlap(F.col("a"), F.col("b")).alias("n"), text._sorted_overlap(F.col("a"), F.col("b")).alias("m")).collect()
     for r in got:
         assert r.n == r.m == sum((Counter(r.a) & Counter(r.b)).values())
+
+
+def test_moves_by_one_pass_a_pattern(spark):
+    from tallyloom.functions import moves
+
+    texts = ["\x011 white e2 E4\x02; 2 BLACK\te7 e5\x01", "1 White e2 e4\n\n 2 black e7 e5 ", "99999999999999999999 white a1 a2 1 black b1 b2", "Move 3: white Pawn e2 -> e4\x01Move 3 black e7e5", "", None]
+    out = spark.createDataFrame(enumerate(texts), "i int, t string").select("i", moves.parse_transcript(F.col("t")).alias("a"), moves.parse_model_output(F.col("t")).alias("b"))
+    got = {r.i: ([tuple(m) for m in r.a], [tuple(m) for m in r.b]) for r in out.collect()}
+    both = [(1, "White", "e2", "e4"), (2, "Black", "e7", "e5")]
+    assert got[0] == (both, both[:1] + [(2, "Black", "e7", "e5")]) and got[1][0] == both
+    assert got[2][0] == [(None, "White", "a1", "a2"), (1, "Black", "b1", "b2")]
+    assert got[3] == ([], [(3, "White", "e2", "e4"), (3, "Black", "e7", "e5")]) and got[4] == got[5] == ([], [])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "initcap" not in plan
+
+
+def test_alignment_by_numbers(spark):
+    from pyspark.util import PythonEvalType
+    from tallyloom.functions import distances, moves
+
+    rows = [(0, ["a", "b", "c", "b"], ["b", "c", "a", "b"]), (1, [], ["a"]), (2, ["a"], []), (3, ["a", "b"], ["a", "x", "b"]), (4, ["x"] * 300 + ["y"], ["y"] + ["x"] * 300)]
+    got = {r.i: tuple(r.m) for r in spark.createDataFrame(rows, "i int, t array<string>, f array<string>").select("i", moves.alignment("t", "f").alias("m")).collect()}
+    assert got == {0: (0.75, 0.75, 3), 1: (0.0, 0.0, 0), 2: (0.0, 0.0, 0), 3: (1.0, 1.0, 2), 4: (300 / 301, 300 / 301, 300)}
+    assert moves.alignment.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+    long = [i % 7 for i in range(400)], [i % 5 for i in range(400)]
+    whole, distances.SHORT = distances.SHORT, 0
+    try:
+        in_blocks = distances.common(*long)
+    finally:
+        distances.SHORT = whole
+    assert in_blocks == distances.common(*long)
