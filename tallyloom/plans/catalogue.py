@@ -190,8 +190,9 @@ _LINES_SQL = f"l as (select l_orderkey, string_agg({_duck(_CELLS)}, '; ' order b
 
 
 def _orders(spark: SparkSession, d: str) -> DataFrame:
-    x = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.expr(_CELLS).alias("cell"), F.expr(_MODEL).alias("said"))))
-    rows = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(x.alias("x"))
+    # An order's lines are few, so they are dealt out as they are: gathered before that, they would be sorted twice, and their cells made one by one.
+    lines = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.expr(_CELLS).alias("cell"), F.expr(_MODEL).alias("said")).repartition("l_orderkey")
+    rows = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "cell", "said"))).alias("x"))
     joined = lambda k, sep: F.array_join(F.transform("x", lambda y: y[k]), sep)
     return rows.select("l_orderkey", joined("cell", "; ").alias("compact"), joined("said", "\n").alias("said"), joined("cell", "\n").alias("tab"))
 
