@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -53,10 +54,16 @@ def _words(t: str) -> list[str]:
     return re.sub(r"[^\w\s]", " ", plain).split()
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _exact_words(text: pd.Series) -> pd.Series:
+#: Texts that Python holds the words of at once; those of the others of a batch are in Arrow.
+AT_ONCE = 64
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _exact_words(text: pa.Array) -> pa.Array:
     """The words of the full compatibility decomposition; null stays null."""
-    return pd.Series([None if t is None else _words(t) for t in text], dtype=object)
+    kind = pa.list_(pa.string())
+    parts = [pa.array([None if t is None else _words(t) for t in text[i : i + AT_ONCE].to_pylist()], kind) for i in range(0, len(text), AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
 @F.pandas_udf(StringType())

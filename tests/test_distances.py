@@ -77,3 +77,22 @@ def test_columns(spark):
         else:
             want = spark.createDataFrame([(r.s, r.t)], "s string, t string").select(F.levenshtein("s", "t")).first()[0]
             assert r.c == want and abs(r.sim - (1 - want / 2800)) < 1e-12
+
+
+def test_words_of_a_batch_by_slices(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tallyloom.functions import distances, text
+
+    a, b = [["x", "y"] * (i % 40) for i in range(300)] + [None, [], ["z"] * 900], [["y", "x"] * (i % 30) for i in range(300)] + [["q"], None, ["z"]]
+    given = [pa.array(x, pa.list_(pa.string())).slice(5) for x in (a, b)]
+    got, sizes, whole = [], [], distances._numbered
+    monkeypatch.setattr(distances, "AT_ONCE", 500)
+    monkeypatch.setattr(distances, "_numbered", lambda x, y: sizes.append((len(x), len(x.flatten()) + len(y.flatten()))) or whole(x, y))
+    got = [None if x is None or y is None else distances.edits(x, y) for x, y in distances.numbered(*given)]
+    assert got == [None if x is None or y is None else distances.edits(x, y) for x, y in zip(a[5:], b[5:])]
+    assert sum(n for n, _ in sizes) == len(a) - 5 and all(words <= 500 or rows == 1 for rows, words in sizes) and len(sizes) > 10
+    assert list(distances.numbered(given[0][:0], given[1][:0])) == []
+    texts = [None if i % 7 == 0 else f"Привет {i}, {'мир ' * (i % 5)}ﬁn" for i in range(text.AT_ONCE * 3 + 1)]
+    rows = spark.createDataFrame(enumerate(texts), "i int, t string").coalesce(1)
+    assert [r.w for r in rows.select("i", text._exact_words("t").alias("w")).orderBy("i").collect()] == [None if t is None else text._words(t) for t in texts]
